@@ -54,6 +54,10 @@ def _survivors(num: int, den: int):
     def finish(rows, sizes, columns, extras, values):
         order = np.lexsort((columns, values, rows))
         rows, sizes, columns = rows[order], sizes[order], columns[order]
+        # equal documents of several tasks send the entries of frequent columns once each
+        fresh = np.ones(len(rows), dtype=bool)
+        fresh[1:] = (rows[1:] != rows[:-1]) | (columns[1:] != columns[:-1])
+        rows, sizes, columns = rows[fresh], sizes[fresh], columns[fresh]
         begin = _runs(rows)
         shared = np.diff(np.append(begin, len(rows)))
         n = sizes[begin]
