@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from tidemark.llm.common import mix, pack, slices, unpack
 
 COLUMN_BITS = 48
-FLUSH_ENTRIES = 1 << 21
+FLUSH_ENTRIES = 3 << 19
 FREQUENT = 64
+EXTRA_BYTES = 6
 _BLOB = "bucket int, kind int, count long, rows binary, sizes binary, columns binary, owners binary, extras binary"
 _REPLY = "block int, count long, rows binary, sizes binary, runs binary, columns binary, extras binary, values binary"
 _BLOB_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("count", pa.int64())] + [(n, pa.binary()) for n in ("rows", "sizes", "columns", "owners", "extras")])
@@ -70,7 +71,7 @@ def _send(n_buckets: int, read: Callable, has_extras: bool) -> Callable:
                 if not mask.any():
                     continue
                 c, o = columns[a:b][mask], owners[a:b][mask]
-                x = pack(extras[a:b][mask], 4) if has_extras else b""
+                x = pack(extras[a:b][mask], EXTRA_BYTES) if has_extras else b""
                 out.append((bucket, kind, len(c), row_blob, size_blob, pack(c, width), pack(o, 4), x))
                 if kind == 2:
                     at = _runs(c)
@@ -113,7 +114,7 @@ def _reply(n_blocks: int, value: str, has_extras: bool) -> Callable:
         out = []
         for a, b in zip(at[:-1], at[1:], strict=True):
             r = _runs(rows[a:b])
-            out.append((int(block[a]), b - a, pack(rows[a:b][r].view(np.uint64), 8), pack(sizes[a:b][r], 4), pack(np.diff(np.append(r, b - a)), 4), pack(columns[a:b], width), pack(extras[a:b], 4) if has_extras else b"", pack(values[a:b].view(np.uint64), 8 if value == "first" else 4)))
+            out.append((int(block[a]), b - a, pack(rows[a:b][r].view(np.uint64), 8), pack(sizes[a:b][r], 4), pack(np.diff(np.append(r, b - a)), 4), pack(columns[a:b], width), pack(extras[a:b], EXTRA_BYTES) if has_extras else b"", pack(values[a:b].view(np.uint64), 8 if value == "first" else 4)))
         yield _batch(out, _REPLY_ARROW)
 
     def bucket_answers(records: Iterator[dict]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +166,7 @@ def _reply(n_blocks: int, value: str, has_extras: bool) -> Callable:
             rows = unpack(r["rows"], 8).view(np.int64)
             sizes = unpack(r["sizes"], 4).astype(np.int64)
             owners = unpack(r["owners"], 4).astype(np.int64)
-            extras = unpack(r["extras"], 4) if has_extras else np.zeros(0, np.uint64)
+            extras = unpack(r["extras"], EXTRA_BYTES) if has_extras else np.zeros(0, np.uint64)
             if r["kind"] == 1:
                 plain.append((columns, rows[owners], sizes[owners], extras))
                 continue
@@ -211,7 +212,7 @@ def _finish(value: str, has_extras: bool, finish: Callable) -> Callable:
         parts = []
         for r in records:
             runs = unpack(r["runs"], 4).astype(np.int64)
-            parts.append((np.repeat(unpack(r["rows"], 8).view(np.int64), runs), np.repeat(unpack(r["sizes"], 4).astype(np.int64), runs), unpack(r["columns"], width), unpack(r["extras"], 4).astype(np.int64) if has_extras else np.zeros(0, np.int64), unpack(r["values"], 8 if value == "first" else 4).view(np.int64)))
+            parts.append((np.repeat(unpack(r["rows"], 8).view(np.int64), runs), np.repeat(unpack(r["sizes"], 4).astype(np.int64), runs), unpack(r["columns"], width), unpack(r["extras"], EXTRA_BYTES).astype(np.int64) if has_extras else np.zeros(0, np.int64), unpack(r["values"], 8 if value == "first" else 4).view(np.int64)))
         if parts:
             yield from finish(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 

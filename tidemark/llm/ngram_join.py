@@ -25,7 +25,7 @@ from tidemark.llm.components import linked_components, overlap_links
 from tidemark.llm.incidence import _runs, shared_columns
 
 THRESHOLD = (4, 5)
-BUCKET_ENTRIES = 4_000_000
+BUCKET_ENTRIES = 1_500_000
 _ROW = "node long, n long, cols binary, keys array<long>"
 _ROW_ARROW = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("cols", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
