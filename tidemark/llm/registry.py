@@ -9,6 +9,7 @@ from tidemark.llm.licenses import OP4_SQL, op4_license_scan
 from tidemark.llm.line_dedup import OP2_SQL, op2_line_dedup
 from tidemark.llm.ngram_join import op9_ngram_jaccard_join
 from tidemark.llm.quality import op1_quality
+from tidemark.llm.token_count import op8_token_counts
 from tidemark.llm.toxicity import op10_toxicity
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_token_counts": op8_token_counts,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_toxicity": op10_toxicity,
 }
