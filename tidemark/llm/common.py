@@ -16,14 +16,18 @@ _U64 = np.uint64
 
 
 # --- lineage -------------------------------------------------------------------------
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder (replicated storage,
-    so a lost executor loses nothing) and continue from there."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names; one of our own only where none is named."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder, so that a lost executor loses
+    nothing, and continue from there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -31,6 +35,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", limit: int = 1_000_000) -> DataFrame:
+    """``docs`` without the rows whose id is in ``ids`` (one column, the same name): up to
+    ``limit`` ids, counted first, are broadcast (8 bytes each), more are joined."""
+    ids = cut(ids.where(F.col(id_col).isNotNull()).distinct())
+    small = ids.limit(limit + 1).count() <= limit
+    return docs.join(F.broadcast(ids) if small else ids, id_col, "left_anti").select(*docs.columns)
+
+
 # --- documents -----------------------------------------------------------------------
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads, under fixed names; a null text counts as empty."""

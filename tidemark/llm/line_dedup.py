@@ -61,8 +61,8 @@ def boilerplate_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = M
 
 
 def drop_site_lines(rows: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``rows`` with __kept (the text without its host's boilerplate lines), __n_lines and
-    __n_dropped.
+    """row (all columns of ``rows``), kept (the text without its host's boilerplate lines),
+    n_lines, n_dropped.
 
     ``rows`` meet the host's short list of digests and filter their own lines, so text is
     neither exploded into the result nor gathered again; beyond BROADCAST_ROWS hosts with
@@ -70,16 +70,17 @@ def drop_site_lines(rows: DataFrame, host: Column, text: Column, ratio: float =
     Null host: a host of its own.  Null text: no lines.  Blank lines are kept and not
     counted.  Equal rows count as so many pages.
     """
-    named = rows.withColumns({"__host": F.coalesce(host, F.lit("")), "__text": F.coalesce(text, F.lit(""))})
-    drop = boilerplate_lines(named.select(F.col("__host").alias("host"), F.col("__text").alias("text")), ratio, min_pages)
-    drop = drop.select(F.col("host").alias("__host"), F.col("drop").alias("__drop"))
-    drop = cut(drop)
+    named = rows.select(F.struct("*").alias("row"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(text, F.lit("")).alias("text"))
+    drop = cut(boilerplate_lines(named.select("host", "text"), ratio, min_pages))
     small = drop.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = named.join(F.broadcast(drop) if small else drop, "__host", "left")
-    is_boilerplate = lambda x: F.array_contains("__drop", _digest(x)) & (F.trim(x) != "")
-    lines = _lines(F.col("__text"))
-    kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~is_boilerplate(x)))
-    return joined.withColumns({"__kept": F.array_join(kept, "\n"), "__n_lines": F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long"), "__n_dropped": (F.size(lines) - F.size(kept)).cast("long")}).drop("__drop", "__text")
+    joined = named.join(F.broadcast(drop) if small else drop, "host", "left")
+    lines = _lines(F.col("text"))
+    kept = F.filter(lines, lambda x: ~(F.array_contains("drop", _digest(x)) & (F.trim(x) != "")))
+    kept = F.when(F.col("drop").isNull(), lines).otherwise(kept)
+    return joined.select(
+        "row", F.array_join(kept, "\n").alias("kept"), F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long").alias("n_lines"),
+        (F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"),
+    )
 
 
 def dedup_page_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -91,7 +92,17 @@ def dedup_page_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MI
     """
     read = pages.select("page_id", url_host(F.coalesce(F.col("url"), F.lit(""))).alias("host"), html_text(F.coalesce(F.col("html"), F.lit(""))).alias("text"))
     out = drop_site_lines(read, F.col("host"), F.col("text"), ratio, min_pages)
-    return out.select("page_id", "host", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.col("__kept").alias("kept_text"))
+    return out.select("row.page_id", "row.host", "n_lines", "n_dropped", F.col("kept").alias("kept_text"))
+
+
+def dedup_document_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """``docs`` (doc_id, text, lang, source, n_chars) with the lines of their source that
+    are boilerplate dropped from text, and n_chars to match.  Texts without such lines,
+    null ones among them, stay as they are; no row goes."""
+    out = drop_site_lines(docs, F.col("source"), F.col("text"), ratio, min_pages)
+    hit = F.col("n_dropped") > 0
+    new = {"text": F.when(hit, F.col("kept")).otherwise(F.col("row.text")), "n_chars": F.when(hit, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))}
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
