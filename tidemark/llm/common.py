@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -232,3 +232,22 @@ def unpack(blob: bytes, width: int) -> np.ndarray:
     raw = np.zeros((planes.shape[1], 8), dtype=np.uint8)
     raw[:, :width] = planes.T
     return raw.reshape(-1).view("<u8")
+
+
+def grouped(batches, key: str, handle: Callable[[Iterator[dict]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Feeds ``handle`` the records of each run of equal keys, one at a time."""
+    stream = (dict(zip(b.schema.names, row, strict=True)) for b in batches for row in zip(*(c.to_pylist() if not pa.types.is_binary(c.type) else (v.as_buffer() for v in c) for c in b.columns), strict=True))
+    ahead = next(stream, None)
+    while ahead is not None:
+        current = ahead[key]
+
+        def group():
+            nonlocal ahead
+            while ahead is not None and ahead[key] == current:
+                record, ahead = ahead, next(stream, None)
+                yield record
+
+        records = group()
+        yield from handle(records)
+        for _ in records:
+            pass

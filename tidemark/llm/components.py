@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -9,7 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, grouped, partitions
+
+BLOCK = 1024
+BIG = 256
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -79,7 +83,7 @@ def linked_components(
 ) -> DataFrame:
     """Components (node, root) of the pairs that share a key and pass ``verify``.
 
-    ``rows`` has (node, n, ...): one row per distinct set.  ``keys`` has (key, node, n):
+    ``rows`` has (node, n, cols): one row per distinct set, cols its columns, sorted.  ``keys`` has (key, node, n):
     any two nodes that may link share a key.  ``verify`` takes distinct pairs (a, b) and
     returns those that link.
 
@@ -87,7 +91,7 @@ def linked_components(
     smallest) with the others of that key, then takes the pivot out: all its pairs there
     are settled.  Nodes already in one component are not compared again.  What is left
     after the pivot rounds (keys whose nodes still lie in several components) is
-    compared between components.  Each step drops pairs whose sizes alone exclude a link.
+    multiplied block by block.  Each step drops pairs whose sizes alone exclude a link.
     """
 
     def sizes_fit(x, y):
@@ -110,14 +114,78 @@ def linked_components(
         rest = rest.join(labels, "node", "left")
         many = rest.groupBy("key").agg(F.min(F.coalesce("root", "node")).alias("lo"), F.max(F.coalesce("root", "node")).alias("hi"))
         left = cut(rest.join(many.where("lo != hi").select("key"), "key", "left_semi"))
-    groups = left.select("key", F.coalesce("root", "node").alias("group")).distinct()
-    other = groups.select("key", F.col("group").alias("group_b"))
-    across = groups.join(other, "key").where("group < group_b").select(F.col("group").alias("group_a"), "group_b").distinct()
-    named = rows.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("root", "node").alias("group"))
-    one = named.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("group").alias("group_a"))
-    two = named.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("group").alias("group_b"))
-    pairs = across.join(one, "group_a").join(two, "group_b").where(sizes_fit(F.col("n_a"), F.col("n_b"))).select("a", "b")
-    more = cut(verify(pairs.distinct()))
+    groups = left.select("key", "node", "n", F.coalesce("root", "node").alias("group"))
+    more = cut(_block_links(groups, rows, num, den))
     if more.isEmpty():
         return labels
     return connected_components(links.unionByName(more))
+
+
+def _block_links(groups: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b), as a spanning forest per block, between nodes of different groups that
+    share a key; ``groups`` has (key, node, n, group), ``rows`` (node, cols).
+
+    Keys that share a group form a cell, and a cell is parted by size: sets whose sizes
+    lie two parts from each other can't link.  Groups of more than BIG nodes in a cell
+    have blocks of their own, which don't meet one another; small ones share blocks.  A
+    pair of blocks is a task of bounded size: a sparse product of both.
+    """
+    low = groups.groupBy("key").agg(F.min("group").alias("low"))
+    cells = connected_components(groups.select("key", "group").distinct().join(low, "key").select(F.col("group").alias("a"), F.col("low").alias("b")))
+    lane = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num)) + F.lit(1e-9)).cast("int")
+    nodes = groups.select("node", "n", "group").distinct().join(cells.select(F.col("node").alias("group"), F.col("root").alias("cell")), "group").withColumn("lane", lane)
+    big = nodes.groupBy("cell", "lane", "group").agg(F.count(F.lit(1)).alias("own")).where(F.col("own") > BIG)
+    nodes = nodes.join(big, ["cell", "lane", "group"], "left").withColumn("sub", F.when(F.col("own").isNotNull(), F.col("group")))
+    held = nodes.groupBy("cell", "lane", "sub").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
+    same = (F.col("m.cell") == F.col("h.cell")) & (F.col("m.lane") == F.col("h.lane")) & F.col("m.sub").eqNullSafe(F.col("h.sub"))
+    members = nodes.alias("m").join(held.alias("h"), same).select("m.node", "m.n", "m.cell", "m.lane", "m.sub", F.pmod(F.xxhash64("m.node"), F.col("h.blocks")).alias("block"))
+    members = cut(members.withColumn("id", F.xxhash64("cell", "lane", F.coalesce("sub", F.lit(0)), "block")))
+    blocks = members.select("cell", "lane", "sub", "id").distinct()
+    x, y = blocks.alias("x"), blocks.alias("y")
+    step = F.col("y.lane") - F.col("x.lane")
+    meets = (F.col("x.cell") == F.col("y.cell")) & ((step == 1) | ((step == 0) & (F.col("x.id") <= F.col("y.id")))) & ~F.coalesce(F.col("x.sub") == F.col("y.sub"), F.lit(False))
+    tasks = x.join(y, meets).select(F.col("x.id").alias("left"), F.col("y.id").alias("right"), F.xxhash64("x.id", "y.id").alias("task"))
+    sides = tasks.select("task", F.col("left").alias("id"), F.lit(0).alias("side")).unionByName(tasks.where("left <> right").select("task", F.col("right").alias("id"), F.lit(1).alias("side")))
+    dealt = members.select("id", "node", "n").join(rows.select("node", "cols"), "node").join(sides, "id").select("task", "side", "node", "n", "cols")
+    dealt = dealt.repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task")
+    return dealt.mapInArrow(_block_products(num, den), "a long, b long")
+
+
+def _block_products(num: int, den: int) -> Callable:
+    def product(records):
+        sides, nodes, sizes, cols = zip(*((r["side"], r["node"], r["n"], np.frombuffer(r["cols"], dtype="<u8")) for r in records), strict=True)
+        side, node, n = np.array(sides), np.array(nodes, dtype=np.int64), np.array(sizes, dtype=np.int64)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        alone = not len(right)  # a block that meets itself
+        right = left if alone else right
+        # The right block column by column: which of its rows hold a column.
+        flat = np.concatenate([cols[i] for i in right])
+        owner = np.repeat(np.arange(len(right)), [len(cols[i]) for i in right])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        parent = np.arange(len(node))
+
+        def root(i):
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for i in left.tolist():
+            lo, hi = np.searchsorted(flat, cols[i], side="left"), np.searchsorted(flat, cols[i], side="right")
+            size = hi - lo
+            at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            both = np.bincount(owner[at], minlength=len(right))
+            linked = np.flatnonzero((both > 0) & (den * both >= num * (n[i] + n[right] - both)))
+            for j in right[linked].tolist():
+                u, v = root(i), root(j)
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+        ends = np.array([root(i) for i in range(len(node))])
+        apart = np.flatnonzero(ends != np.arange(len(node)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[apart]), pa.array(node[ends[apart]])], names=["a", "b"])
+
+    def run(batches):
+        yield from grouped(batches, "task", product)
+
+    return run

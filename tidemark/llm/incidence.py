@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import mix, pack, slices, unpack
+from tidemark.llm.common import grouped, mix, pack, slices, unpack
 
 COLUMN_BITS = 48
 FLUSH_ENTRIES = 3 << 19
@@ -181,30 +181,11 @@ def _reply(n_blocks: int, value: str, has_extras: bool) -> Callable:
             yield from settle()[1]
 
     def run(batches):
-        yield from _grouped(batches, "bucket", bucket_answers)
+        yield from grouped(batches, "bucket", bucket_answers)
 
     return run
 
 
-def _grouped(batches, key: str, handle: Callable[[Iterator[dict]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """Feeds ``handle`` the records of each run of equal keys, one at a time."""
-    stream = (dict(zip(b.schema.names, row, strict=True)) for b in batches for row in zip(*(c.to_pylist() if not pa.types.is_binary(c.type) else (v.as_buffer() for v in c) for c in b.columns), strict=True))
-    ahead = next(stream, None)
-    while ahead is not None:
-        current = ahead[key]
-
-        def group():
-            nonlocal ahead
-            while ahead is not None and ahead[key] == current:
-                record, ahead = ahead, next(stream, None)
-                yield record
-
-        records = group()
-        yield from handle(records)
-        for _ in records:
-            pass
-
-
 def _finish(value: str, has_extras: bool, finish: Callable) -> Callable:
     width = COLUMN_BITS // 8
 
@@ -217,7 +198,7 @@ def _finish(value: str, has_extras: bool, finish: Callable) -> Callable:
             yield from finish(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     def run(batches):
-        yield from _grouped(batches, "block", block)
+        yield from grouped(batches, "block", block)
 
     return run
 

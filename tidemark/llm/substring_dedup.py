@@ -223,7 +223,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         both = both.join(sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("cols").alias("cols_a")), "a")
         return both.select("a", "b", "n_a", "n_b", "cols_a", "cols_b").mapInArrow(overlap_links(num, den), "a long, b long")
 
-    labels = linked_components(sets.select("node", "n"), candidates.select(F.explode("keys").alias("key"), "node", "n"), verify, num, den)
+    labels = linked_components(sets, candidates.select(F.explode("keys").alias("key"), "node", "n"), verify, num, den)
     placed = source.mapInArrow(_places(min_words), "doc_id long, number long, words long, node long").join(labels, "node", "left")
     placed = cut(placed.select("doc_id", "number", "words", F.coalesce("root", "node").alias("class")))
     classes = placed.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "number")).alias("one")).where("n > 1")
