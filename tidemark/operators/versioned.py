@@ -1,0 +1,37 @@
+"""Rows, versions and changes of any append-only log (key, sequence, image)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def state(log: DataFrame, key: str, order: str, columns: list[str], as_of=None) -> DataFrame:
+    """The newest image of each key, at a point of the order if given: one partially
+    aggregated maximum, so a key with very many versions is one row from each task."""
+    if as_of is not None:
+        log = log.where(F.col(order) <= as_of)
+    newest = log.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("r"), F.max(order).alias(order))
+    return newest.select(key, order, *[F.col(f"r.{c}").alias(c) for c in columns])
+
+
+def versions(log: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """Every image with the place where the next one begins (null for the current)."""
+    w = Window.partitionBy(key).orderBy(order)
+    return log.select(key, F.col(order).alias("begin_ts"), F.lead(order).over(w).alias("end_ts"), *columns)
+
+
+def change_kinds(log: DataFrame, key: str, order: str) -> DataFrame:
+    """The first image of a key is its insert, the others are updates."""
+    first = F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1
+    return log.select(key, order, F.when(first, "insert").otherwise("update").alias("kind"))
+
+
+def feed_page(log: DataFrame, order: str, after: int, n: int) -> DataFrame:
+    """The n changes that follow a cursor."""
+    return log.where(F.col(order) > after).orderBy(order).limit(n)
+
+
+def with_virtual_default(df: DataFrame, column: str, introduced: Column, default) -> DataFrame:
+    """A column that rows written before it came read as its default; stored NULLs stay."""
+    return df.withColumn(column, F.when(introduced, F.col(column)).otherwise(F.lit(default)))
