@@ -29,6 +29,7 @@ from tidemark.llm.common import grouped, mix, pack, slices, unpack
 COLUMN_BITS = 48
 FLUSH_ENTRIES = 3 << 19
 FREQUENT = 64
+REPLY_ENTRIES = 1 << 18
 EXTRA_BYTES = 6
 _BLOB = "bucket int, kind int, count long, rows binary, sizes binary, columns binary, owners binary, extras binary"
 _REPLY = "block int, count long, rows binary, sizes binary, runs binary, columns binary, extras binary, values binary"
@@ -59,7 +60,6 @@ def _send(n_buckets: int, read: Callable, has_extras: bool) -> Callable:
         begin = _runs(columns)
         counts = np.diff(np.append(begin, len(columns)))
         many = np.repeat(counts >= FREQUENT, counts)
-        row_blob, size_blob = pack(rows.view(np.uint64), 8), pack(sizes, 4)
         limits = (np.arange(1, n_buckets, dtype=np.float64) * (2.0**COLUMN_BITS / n_buckets)).astype(np.uint64)
         edges = np.concatenate([[0], np.searchsorted(columns, limits), [len(columns)]])
         out = []
@@ -71,8 +71,9 @@ def _send(n_buckets: int, read: Callable, has_extras: bool) -> Callable:
                 if not mask.any():
                     continue
                 c, o = columns[a:b][mask], owners[a:b][mask]
+                named, place = np.unique(o, return_inverse=True)  # the rows that come here
                 x = pack(extras[a:b][mask], EXTRA_BYTES) if has_extras else b""
-                out.append((bucket, kind, len(c), row_blob, size_blob, pack(c, width), pack(o, 4), x))
+                out.append((bucket, kind, len(c), pack(rows[named].view(np.uint64), 8), pack(sizes[named], 4), pack(c, width), pack(place, 4), x))
                 if kind == 2:
                     at = _runs(c)
                     # for each frequent column: how many entries, and the smallest row that has it
@@ -119,7 +120,7 @@ def _reply(n_blocks: int, value: str, has_extras: bool) -> Callable:
 
     def bucket_answers(records: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         hot_columns, hot_counts, hot_first, plain = [], [], [], []
-        table = None
+        table, late, waiting = None, [], 0
 
         def settle():
             """Counts of the columns once all records that carry counts have come."""
@@ -175,10 +176,15 @@ def _reply(n_blocks: int, value: str, has_extras: bool) -> Callable:
                 plain = []
                 yield from out
             at = np.searchsorted(table[0], columns)
-            values = (table[2] if value == "first" else table[1])[at]
-            yield from answers(rows[owners], sizes[owners], columns, extras, values)
+            late.append((rows[owners], sizes[owners], columns, extras, (table[2] if value == "first" else table[1])[at]))
+            waiting += len(columns)
+            if waiting >= REPLY_ENTRIES:
+                yield from answers(*(np.concatenate(x) for x in zip(*late, strict=True)))
+                late, waiting = [], 0
         if table is None:
             yield from settle()[1]
+        if late:
+            yield from answers(*(np.concatenate(x) for x in zip(*late, strict=True)))
 
     def run(batches):
         yield from grouped(batches, "bucket", bucket_answers)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, partitions, set_digests, slices, text_sets, texts
+from tidemark.llm.common import cut, set_digests, slices, text_sets, texts
 from tidemark.llm.components import linked_components, overlap_links
 from tidemark.llm.incidence import _runs, shared_columns
 
@@ -99,7 +99,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     source = texts(docs, id_col, text_col)
     measured = cut(source.mapInArrow(_measure, "doc_id long, n_shingles long, node long"))
     total = measured.agg(F.sum("n_shingles")).first()[0] or 0
-    n_buckets = max(partitions(docs.sparkSession), -(-total // BUCKET_ENTRIES))
+    n_buckets = max(1, -(-total // BUCKET_ENTRIES))
     rows = cut(shared_columns(source, n_buckets, _read, _survivors(num, den), _ROW))
     keys = rows.select(F.explode("keys").alias("key"), "node", "n")
     held = rows.select("node", "n", "cols")

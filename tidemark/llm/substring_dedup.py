@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import _splitmix, cut, mix, partitions, set_digests, shingle_hashes, slices, sorted_sets, span_hashes, texts, word_spans
+from tidemark.llm.common import _splitmix, cut, mix, set_digests, shingle_hashes, slices, sorted_sets, span_hashes, texts, word_spans
 from tidemark.llm.components import linked_components, overlap_links
 from tidemark.llm.incidence import _runs, shared_columns
 
@@ -206,9 +206,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     num, den = threshold
     bands, rows = tune_bands(num / den)
     source = texts(docs, id_col, text_col)
-    spark = docs.sparkSession
     n_words = source.select(F.sum(F.length("text")).alias("n")).first()[0] or 0
-    buckets = lambda entries: int(max(partitions(spark), -(-entries // BUCKET_ENTRIES)))
+    buckets = lambda entries: int(max(1, -(-entries // BUCKET_ENTRIES)))
 
     # Paragraphs: a paragraph has ``bands`` columns and some 300 characters.
     read = _read_paragraphs(bands, rows, min_words)
