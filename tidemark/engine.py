@@ -520,6 +520,39 @@ class Engine:
                 bad.append(i.name)
         return bad
 
+    def catalog_events(self, after: int = 0) -> DataFrame:
+        """Schema changes in commit order; they precede the row changes that use them.
+        Index commits are not part of the feed."""
+        rows = [(c.seq, c.ts, c.epoch, "drop_table" if c.note.startswith("DropTable") else "schema", c.note) for c in self.store.commits if c.seq > after and c.kind == "schema"]
+        return self._report(rows, "commit_seq long, commit_ts long, epoch int, kind string, note string")
+
+    def scan_all(self, as_of: int | None = None) -> DataFrame:
+        """Every row of every table of the database (diagnostic), absent columns NULL."""
+        out = None
+        for t in self.catalog.tables.values():
+            df = adapted(self.store.rows(t, as_of), t).withColumn("_table", F.lit(t.name))
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+        return self.spark.createDataFrame([], "_table string") if out is None else out
+
+    def scan_page(self, table: str, after: int | None, limit: int, as_of: int | None = None) -> list:
+        """The rows whose keys follow ``after``, in key order, at one snapshot."""
+        t = self.lookup(table)
+        df = t.scan(self.head if as_of is None and table.lower() not in self.imported else as_of, [c.name for c in t.columns])
+        if after is not None:
+            df = df.where(F.col(t.primary_key) > after)
+        return df.orderBy(t.primary_key).limit(limit).collect()
+
+    def run_cancellable(self, text: str, group: str) -> list:
+        """``run`` under a job group that ``cancel`` ends from another thread."""
+        self.spark.sparkContext.setJobGroup(group, text, interruptOnCancel=True)
+        try:
+            return self.run(text)
+        finally:
+            self.spark.sparkContext.setJobGroup("", "")
+
+    def cancel(self, group: str) -> None:
+        self.spark.sparkContext.cancelJobGroup(group)
+
     # --- statistics and reports
     def analyze(self, table: str) -> TableStatistics:
         t = self.lookup(table)
@@ -542,6 +575,36 @@ class Engine:
         ]
         return self._report(rows, "name string, table string, columns string, include string, usable_from_ts long, watermark_ts long")
 
+    def show_projections(self) -> DataFrame:
+        rows = [(p.name, p.table, p.state, p.frontier, p.lag(self.head), p.commits_per_ms) for p in self.projections.projections.values()]
+        return self._report(rows, "name string, table string, state string, frontier long, lag long, commits_per_ms double")
+
+    def show_session(self, session: Session) -> DataFrame:
+        return self._report([(session.optimizer, session.plan_cache, " ".join(map(str, session.consistency)), session.token, self.head)], "optimizer string, plan_cache boolean, consistency string, token long, head long")
+
+    def show_shapes(self) -> DataFrame:
+        rows = [(k, ",".join(s.shape.tables), ",".join(".".join(f) for f in s.shape.filters), s.runs, s.ms, s.rows_read, s.rows_out, s.q_error) for k, s in self.telemetry.shapes.items()]
+        return self._report(rows, "shape string, tables string, filters string, runs long, ms double, rows_read long, rows_out long, q_error double")
+
+    def show_telemetry(self) -> DataFrame:
+        rows = [(e.shape.id, e.ms, e.rows_read, e.rows_out, e.q_error, e.used_index) for e in self.telemetry.samples]
+        return self._report(rows, "shape string, ms double, rows_read long, rows_out long, q_error double, used_index boolean")
+
+    def show_writes(self) -> DataFrame:
+        return self._report([(t, w.statements, w.rows, w.nanos / 1e6) for t, w in self.telemetry.writes.items()], "table string, statements long, rows long, ms double")
+
+    def show_advice(self, log: bool = False) -> DataFrame:
+        events = self.advisor.log if log else [("shown", a) for a in self.advisor.shown.values()]
+        return self._report([(w, a.action, a.table, ",".join(a.columns), float(a.ratio), a.runs, a.reason) for w, a in events], "event string, action string, table string, columns string, ratio double, runs long, reason string")
+
+    def show_actions(self, log: bool = False) -> DataFrame:
+        if log:
+            return self._report(self.controller.log, "event string, name string, reason string")
+        return self._report([(o.name, o.advice.table, "pending" if o.pending else "kept") for o in self.controller.owned.values()], "name string, table string, state string")
+
+    def show_cache(self) -> DataFrame:
+        return self._report([(len(self.cache), self.cache.bytes, self.cache.hits, self.cache.misses)], "entries long, bytes long, hits long, misses long")
+
     def explain(self, tree, session: Session, analyze: bool = False) -> list[str]:
         if not isinstance(tree, ast.Select):
             return [f"statement: {type(tree).__name__}"]

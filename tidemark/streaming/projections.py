@@ -104,3 +104,45 @@ class ProjectionRegistry:
             raise ConsistencyError(f"{consumer} is already at {self.offsets[consumer]}")
         self.offsets[consumer] = seq
         self.save()
+
+
+def maintain_table(engine, table: str, path: str, checkpoint: str):
+    """Keeps the newest image of every row of ``table`` under ``path`` (parquet, images as
+    JSON), fed by the change stream until it has caught up; returns the finished query.
+
+    A micro-batch merges its newest change per key into the rows that stand, partially
+    aggregated, and replaces the folder's current version.
+    """
+    from pyspark.sql import functions as F
+
+    from tidemark.streaming.feed import ChangeFeed
+
+    spark = engine.spark
+    spark.dataSource.register(ChangeFeed)
+    entity = engine.catalog.table(table).entity
+
+    def merge(batch, number: int) -> None:
+        s = batch.sparkSession
+        current = Path(path) / "CURRENT"
+        news = batch.select("pk", "commit_seq", "kind", "schema_version", "after")
+        if current.exists():
+            news = news.unionByName(s.read.parquet(str(Path(path) / current.read_text())))
+        newest = news.groupBy("pk").agg(F.max("commit_seq").alias("commit_seq"), F.max_by(F.struct("kind", "schema_version", "after"), "commit_seq").alias("r"))
+        # Deletions stay as marks, so that a batch that is replayed can't bring a row back.
+        version = f"v{number:09d}"
+        newest.select("pk", "commit_seq", "r.kind", "r.schema_version", "r.after").write.mode("overwrite").parquet(str(Path(path) / version))
+        temp = current.with_suffix(".tmp")
+        temp.write_text(version)
+        os.replace(temp, current)
+
+    Path(path).mkdir(parents=True, exist_ok=True)
+    stream = spark.readStream.format("tidemark_changes").option("root", str(engine.store.root)).option("entity", str(entity)).load()
+    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def maintained_rows(spark, path: str):
+    """The rows that ``maintain_table`` keeps."""
+    current = Path(path) / "CURRENT"
+    return spark.read.parquet(str(Path(path) / current.read_text())).where("kind <> 'delete'")
