@@ -22,9 +22,11 @@ def versions(log: DataFrame, key: str, order: str, columns: list[str]) -> DataFr
 
 
 def change_kinds(log: DataFrame, key: str, order: str) -> DataFrame:
-    """The first image of a key is its insert, the others are updates."""
-    first = F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1
-    return log.select(key, order, F.when(first, "insert").otherwise("update").alias("kind"))
+    """The first image of a key is its insert, the others are updates: a partially
+    aggregated minimum and a join, which adaptive execution splits at a hot key."""
+    first = log.groupBy(key).agg(F.min(order).alias("first"))
+    kind = F.when(F.col(order) == F.col("first"), "insert").otherwise("update").alias("kind")
+    return log.select(key, order).join(first, key).select(key, order, kind)
 
 
 def feed_page(log: DataFrame, order: str, after: int, n: int) -> DataFrame:

@@ -9,7 +9,7 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.adaptive.statistics import common_values, histogram
+from tidemark.adaptive.statistics import column_sample, common_values, histogram
 from tidemark.engine import Engine
 from tidemark.operators import versioned
 from tidemark.plans.parser import parse
@@ -198,14 +198,23 @@ def analyze_columns(spark, sf_dir):
     return spark.createDataFrame(rows, "column_name string, n_rows long, n_nulls long, low string, high string")
 
 
+def _sampled(spark, sf_dir, table: str, column: str, kind: str, key: str) -> tuple[list, float]:
+    """Values of a column in the bounded sample of ANALYZE (all, in a small table), and how
+    many rows each stands for."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(column).cast(kind).alias(column), key)
+    rows = df.count()
+    values = column_sample(df, {column: kind}, key, rows).toArrow().column(column).to_pylist()
+    return values, rows / max(len(values), 1)
+
+
 def analyze_mcv(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").cast("long")).toArrow().column(0).to_pylist()
-    return spark.createDataFrame([(v, int(n)) for v, n in common_values(rows, 1.0)] or [], "value long, n long")
+    values, scale = _sampled(spark, sf_dir, "supplier", "s_nationkey", "bigint", "s_suppkey")
+    return spark.createDataFrame([(v, round(n)) for v, n in common_values(values, scale)], "value long, n long")
 
 
 def analyze_histogram(spark, sf_dir):
-    values = sorted(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_acctbal").toArrow().column(0).to_pylist())
-    rows = [(i, b.low, b.high, int(b.rows)) for i, b in enumerate(histogram(values, 1.0))]
+    values, scale = _sampled(spark, sf_dir, "supplier", "s_acctbal", "double", "s_suppkey")
+    rows = [(i, b.low, b.high, int(b.rows)) for i, b in enumerate(histogram(sorted(values), scale))]
     return spark.createDataFrame(rows, "bucket int, low double, high double, n long")
 
 
