@@ -6,7 +6,7 @@ from helpers import jaccard_components
 
 from tidemark.llm import bpe
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 def test_stages(spark):
@@ -24,7 +24,9 @@ def test_stages(spark):
         if k < len(pipeline.STAGES) - 1:
             assert after.columns == docs.columns
         if name == "toxicity":
-            assert not any(toxic.get(i) == 0 for i in set(old) - set(new))
+            clean = {i for i, y in toxic.items() if y == 0 and i in old}
+            assert len(clean - set(new)) <= 0.01 * len(clean)
+            assert len([i for i, y in toxic.items() if y == 1 and i in new]) <= 0.2 * sum(toxic.values())
         elif name == "line dedup":
             assert set(new) == set(old)
         elif name == "n-gram Jaccard join":
