@@ -16,36 +16,39 @@ BLOCK = 1024
 BIG = 256
 
 
+ROWS_PER_TASK = 250_000
+
+
+def _tasks(rows: int) -> int:
+    """Tasks for steps over this many small rows.  Shuffle files number tasks times
+    partitions; with few rows in many partitions they would outweigh the rows."""
+    return max(4, -(-rows // ROWS_PER_TASK))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): root is the smallest node reachable over ``edges`` (a, b).
 
     Alternating large-star and small-star steps, each one partially aggregated minimum
     per node and one join back on the node, so a node with very many neighbours is a
-    skewed join that adaptive execution splits, never a group held by a task.  Edges
-    with a null end or from a node to itself are ignored; no edges give no rows.
+    skewed join that adaptive execution splits, never a group held by a task.  Every edge
+    leads from a node to a smaller one; when no edge begins where another ends, the edges
+    are stars around the roots.  Edges with a null end or from a node to itself are
+    ignored; no edges give no rows.
     """
-    e = cut(
-        edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    before = None
+    real = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))
+    e = cut(edges.where(real).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    n = _tasks(e.count())
+    e = e.coalesce(n)
     for _ in range(max_rounds):
+        if e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(n).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        e = cut(
-            small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
-            .where("u != v")
-            .distinct()
-        )
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before or not now[0]:
-            break
-        before = now
+        small = large.join(low, "u").coalesce(n)
+        merged = small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        e = cut(merged.where("u != v").distinct().coalesce(n))
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
@@ -79,13 +82,13 @@ def overlap_links(threshold_num: int, threshold_den: int) -> Callable:
 
 
 def linked_components(
-    rows: DataFrame, keys: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, den: int, pivot_rounds: int = 2
+    rows: DataFrame, keys: DataFrame, verify: Callable[[DataFrame, int], DataFrame], num: int, den: int, pivot_rounds: int = 2
 ) -> DataFrame:
     """Components (node, root) of the pairs that share a key and pass ``verify``.
 
     ``rows`` has (node, n, cols): one row per distinct set, cols its columns, sorted.  ``keys`` has (key, node, n):
-    any two nodes that may link share a key.  ``verify`` takes distinct pairs (a, b) and
-    returns those that link.
+    any two nodes that may link share a key.  ``verify`` takes distinct pairs (a, b)
+    and a number of tasks and returns those that link.
 
     Pairs are never listed whole.  A pivot round compares one node of every key (its
     smallest) with the others of that key, then takes the pivot out: all its pairs there
@@ -97,9 +100,10 @@ def linked_components(
     def sizes_fit(x, y):
         return F.least(x, y) * F.lit(den) >= F.greatest(x, y) * F.lit(num)
 
+    n = _tasks(keys.count())
     labels = None
     links = None
-    left = keys
+    left = keys.coalesce(n)
     for _ in range(pivot_rounds):
         pivots = left.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.min(F.struct("node", "n")).alias("p"))
         pivots = pivots.where(F.col("a") != F.col("z")).select("key", "a", F.col("p.n").alias("n_a"))
@@ -107,21 +111,21 @@ def linked_components(
         if labels is not None:
             at = labels.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
             pairs = pairs.join(at, "a", "left").where(F.coalesce("root_a", "a") != F.coalesce("root", "node"))
-        found = verify(pairs.select("a", F.col("node").alias("b")).distinct())
-        links = cut(found if links is None else links.unionByName(found))
-        labels = cut(connected_components(links))
+        found = verify(pairs.select("a", F.col("node").alias("b")).coalesce(n).distinct().coalesce(n), n).coalesce(n)
+        links = cut(found if links is None else links.unionByName(found).coalesce(n))
+        labels = cut(connected_components(links).coalesce(n))
         rest = left.join(pivots.select("key", "a"), "key").where(F.col("node") != F.col("a")).select("key", "node", "n")
-        rest = rest.join(labels, "node", "left")
+        rest = cut(rest.coalesce(n).join(labels, "node", "left").coalesce(n))
         many = rest.groupBy("key").agg(F.min(F.coalesce("root", "node")).alias("lo"), F.max(F.coalesce("root", "node")).alias("hi"))
-        left = cut(rest.join(many.where("lo != hi").select("key"), "key", "left_semi"))
+        left = cut(rest.join(many.where("lo != hi").select("key"), "key", "left_semi").coalesce(n))
     groups = left.select("key", "node", "n", F.coalesce("root", "node").alias("group"))
-    more = cut(_block_links(groups, rows, num, den))
+    more = cut(_block_links(groups, rows, num, den, n).coalesce(n))
     if more.isEmpty():
         return labels
     return connected_components(links.unionByName(more))
 
 
-def _block_links(groups: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+def _block_links(groups: DataFrame, rows: DataFrame, num: int, den: int, n: int) -> DataFrame:
     """Links (a, b), as a spanning forest per block, between nodes of different groups that
     share a key; ``groups`` has (key, node, n, group), ``rows`` (node, cols).
 
@@ -131,22 +135,23 @@ def _block_links(groups: DataFrame, rows: DataFrame, num: int, den: int) -> Data
     pair of blocks is a task of bounded size: a sparse product of both.
     """
     low = groups.groupBy("key").agg(F.min("group").alias("low"))
-    cells = connected_components(groups.select("key", "group").distinct().join(low, "key").select(F.col("group").alias("a"), F.col("low").alias("b")))
+    cells = connected_components(groups.select("key", "group").distinct().join(low, "key").select(F.col("group").alias("a"), F.col("low").alias("b")).coalesce(n))
     lane = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num)) + F.lit(1e-9)).cast("int")
-    nodes = groups.select("node", "n", "group").distinct().join(cells.select(F.col("node").alias("group"), F.col("root").alias("cell")), "group").withColumn("lane", lane)
+    nodes = groups.select("node", "n", "group").distinct().coalesce(n).join(cells.select(F.col("node").alias("group"), F.col("root").alias("cell")), "group").withColumn("lane", lane)
+    nodes = cut(nodes.coalesce(n))
     big = nodes.groupBy("cell", "lane", "group").agg(F.count(F.lit(1)).alias("own")).where(F.col("own") > BIG)
     nodes = nodes.join(big, ["cell", "lane", "group"], "left").withColumn("sub", F.when(F.col("own").isNotNull(), F.col("group")))
     held = nodes.groupBy("cell", "lane", "sub").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
     same = (F.col("m.cell") == F.col("h.cell")) & (F.col("m.lane") == F.col("h.lane")) & F.col("m.sub").eqNullSafe(F.col("h.sub"))
     members = nodes.alias("m").join(held.alias("h"), same).select("m.node", "m.n", "m.cell", "m.lane", "m.sub", F.pmod(F.xxhash64("m.node"), F.col("h.blocks")).alias("block"))
-    members = cut(members.withColumn("id", F.xxhash64("cell", "lane", F.coalesce("sub", F.lit(0)), "block")))
-    blocks = members.select("cell", "lane", "sub", "id").distinct()
+    members = cut(members.withColumn("id", F.xxhash64("cell", "lane", F.coalesce("sub", F.lit(0)), "block")).coalesce(n))
+    blocks = cut(members.select("cell", "lane", "sub", "id").distinct().coalesce(n))
     x, y = blocks.alias("x"), blocks.alias("y")
     step = F.col("y.lane") - F.col("x.lane")
     meets = (F.col("x.cell") == F.col("y.cell")) & ((step == 1) | ((step == 0) & (F.col("x.id") <= F.col("y.id")))) & ~F.coalesce(F.col("x.sub") == F.col("y.sub"), F.lit(False))
     tasks = x.join(y, meets).select(F.col("x.id").alias("left"), F.col("y.id").alias("right"), F.xxhash64("x.id", "y.id").alias("task"))
     sides = tasks.select("task", F.col("left").alias("id"), F.lit(0).alias("side")).unionByName(tasks.where("left <> right").select("task", F.col("right").alias("id"), F.lit(1).alias("side")))
-    dealt = members.select("id", "node", "n").join(rows.select("node", "cols"), "node").join(sides, "id").select("task", "side", "node", "n", "cols")
+    dealt = members.select("id", "node", "n").join(rows.select("node", "cols"), "node").coalesce(n).join(sides, "id").coalesce(n).select("task", "side", "node", "n", "cols")
     dealt = dealt.repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task")
     return dealt.mapInArrow(_block_products(num, den), "a long, b long")
 

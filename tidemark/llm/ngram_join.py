@@ -104,8 +104,8 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     keys = rows.select(F.explode("keys").alias("key"), "node", "n")
     held = rows.select("node", "n", "cols")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(held.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("cols").alias("cols_b")), "b")
+    def verify(pairs: DataFrame, tasks: int) -> DataFrame:
+        both = pairs.join(held.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("cols").alias("cols_b")), "b").coalesce(tasks)
         both = both.join(held.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("cols").alias("cols_a")), "a")
         return both.select("a", "b", "n_a", "n_b", "cols_a", "cols_b").mapInArrow(overlap_links(num, den), "a long, b long")
 

@@ -217,8 +217,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sets = source.mapInArrow(_sets(min_words), "node long, n long, cols binary").join(F.broadcast(named) if small else named, "node")
     sets = cut(sets.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("cols").alias("cols")))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("cols").alias("cols_b")), "b")
+    def verify(pairs: DataFrame, tasks: int) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("cols").alias("cols_b")), "b").coalesce(tasks)
         both = both.join(sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("cols").alias("cols_a")), "a")
         return both.select("a", "b", "n_a", "n_b", "cols_a", "cols_b").mapInArrow(overlap_links(num, den), "a long, b long")
 
