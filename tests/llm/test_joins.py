@@ -90,6 +90,20 @@ def test_repeated_passages(spark):
     assert repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_every_sentence_of_a_passage_keeps_a_holder(spark):
+    rng = random.Random(11)
+    text = lambda n: ". ".join(sentence(rng, 10).capitalize() for _ in range(n)) + "."
+    one, two, between = text(3), text(3), text(1)
+    rows = [(1, text(4) + " " + one + " " + text(4)), (9, text(3) + " " + one + " " + two + " " + text(3)), (12, text(5) + " " + two + " " + text(2))]
+    rows += [(20, one + " " + between + " " + two)]
+    words = {i: t.lower().split() for i, t in rows}
+    got = [r for r in repeated_passages(spark.createDataFrame(rows, DOCS)).collect() if r.kind == "passage"]
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(1, 1, True), (9, 1, False), (9, 9, True), (12, 9, False), (20, 1, False), (20, 9, False)}
+    spans = {(r.doc_id, r.component_id): " ".join(words[r.doc_id][r.first : r.last + 1]) for r in got}
+    assert all(spans[i, h] == spans[h, h] == (one if h == 1 else two).lower() for i, h in spans)
+    assert all(r.n_words == r.last - r.first + 1 for r in got)
+
+
 @pytest.mark.parametrize("block", [8, 64])
 def test_embedding_join(spark, block):
     rng = np.random.default_rng(7)

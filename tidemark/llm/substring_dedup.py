@@ -26,7 +26,9 @@ MAX_HASHES = 80
 MIN_WORDS = 25
 LONG_SENTENCE = 12
 SHORT_SENTENCE = 3
-BRIDGE = 3
+BRIDGE = 16  # words between shared ones of one run, two pieces of a long sentence
+LONGEST = 4096
+LENGTH_BITS = 13
 BUCKET_ENTRIES = 1_500_000
 BROADCAST_ROWS = 200_000  # of one integer each
 
@@ -143,8 +145,8 @@ def _sets(min_words: int):
 
 
 def _read_sentences(ids, nulls, offsets, data):
-    """Sentences of documents as columns; a long one is cut where the hash of a word says
-    so, which falls alike wherever the sentence stands."""
+    """Sentences of documents as columns, their places and words as extras; a long one is
+    cut where the hash of a word says so, which falls alike wherever the sentence stands."""
     hashes, doc, _, sentence = _pieces(data, offsets)
     if not len(hashes):
         return ids[:0], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -152,38 +154,43 @@ def _read_sentences(ids, nulls, offsets, data):
     long = np.bincount(number)[number] > LONG_SENTENCE
     unit = sentence | (long & ((hashes >> np.uint64(7)) % np.uint64(8) == 0))
     begin = np.flatnonzero(unit)
+    place = np.arange(len(hashes)) - np.repeat(begin, np.diff(np.append(begin, len(hashes))))
+    begin = np.flatnonzero(place % LONGEST == 0)
     words = np.diff(np.append(begin, len(hashes)))
     owner = doc[begin]
-    ordinal = np.arange(len(begin)) - np.searchsorted(owner, owner)
+    at = begin - np.searchsorted(doc, owner)
     with np.errstate(over="ignore"):
         # The place of a word in its piece weighs its hash.
-        place = np.arange(len(hashes)) - np.repeat(begin, words)
         weight = _splitmix(int(words.max()), 0x51ED) | np.uint64(1)
-        digest = mix(np.add.reduceat(hashes * weight[place], begin) + words.astype(np.uint64))
+        digest = mix(np.add.reduceat(hashes * weight[place % LONGEST], begin) + words.astype(np.uint64))
     keep = (words >= SHORT_SENTENCE) & ~nulls[owner]
-    extras = (ordinal.astype(np.uint64) << np.uint64(12)) | np.minimum(words, 4095).astype(np.uint64)
+    extras = (at.astype(np.uint64) << np.uint64(LENGTH_BITS)) | words.astype(np.uint64)
     per_doc = np.bincount(owner[keep], minlength=len(ids))
     return ids, np.zeros(len(ids), np.int64), per_doc, digest[keep], extras[keep]
 
 
 def _passages(min_words: int):
-    """Runs of shared sentences within each document."""
+    """Runs of shared sentences within each document, parted by first holder."""
 
     def finish(rows, sizes, columns, extras, values):
         order = np.lexsort((extras, rows))
         rows, extras, values = rows[order], extras[order], values[order]
-        ordinal, words = extras >> 12, extras & 4095
+        at, words = extras >> LENGTH_BITS, extras & ((1 << LENGTH_BITS) - 1)
         fresh = np.ones(len(rows), dtype=bool)
-        fresh[1:] = (rows[1:] != rows[:-1]) | (ordinal[1:] != ordinal[:-1])
-        rows, ordinal, words, values = rows[fresh], ordinal[fresh], words[fresh], values[fresh]
+        fresh[1:] = (rows[1:] != rows[:-1]) | (at[1:] != at[:-1])
+        rows, at, words, holder = rows[fresh], at[fresh], words[fresh], values[fresh]
+        stop = at + words
+        other = rows[1:] != rows[:-1]
         starts = np.ones(len(rows), dtype=bool)
-        starts[1:] = (rows[1:] != rows[:-1]) | (ordinal[1:] - ordinal[:-1] > BRIDGE)
-        at = np.flatnonzero(starts)
-        total = np.add.reduceat(words, at)
-        first = np.minimum.reduceat(values, at)
-        stop = np.append(at[1:], len(rows)) - 1
-        keep = total >= min_words
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (rows[at], ordinal[at], ordinal[stop], total, first)], names=["doc_id", "first", "last", "n_words", "component_id"])
+        starts[1:] = other | (at[1:] - stop[:-1] > BRIDGE)
+        run = np.cumsum(starts) - 1
+        # What lies between shared sentences is not part of a passage: nobody else has it.
+        parts = starts.copy()
+        parts[1:] |= (at[1:] != stop[:-1]) | (holder[1:] != holder[:-1])
+        first = np.flatnonzero(parts)
+        last = np.append(first[1:], len(rows)) - 1
+        keep = (np.add.reduceat(words, np.flatnonzero(starts)) >= min_words)[run[first]]
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (rows[first], at[first], stop[last] - 1, stop[last] - at[first], holder[first])], names=["doc_id", "first", "last", "n_words", "component_id"])
 
     return finish
 
@@ -194,10 +201,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     kind "paragraph": a line of ``min_words`` or more whose shingle set is linked, over
     pairs of similarity ``threshold`` or more, with that of another line of the corpus;
-    first = last = its number in the document.  kind "passage": a run of sentences that
-    other documents hold word for word (case of A-Z aside), ``min_words`` or more in all;
-    first and last number the sentences.  component_id is the smallest doc_id of the
-    class: the holder that keeps the passage.  kept is true there, for the first place.
+    first = last = its number in the document.  kind "passage": sentences that other
+    documents hold word for word (case of A-Z aside), out of a run with ``min_words`` or
+    more in all; first and last number the words of the document, from 0.  A run has a row
+    for each stretch of neighbouring sentences with the same first holder, so a row may be
+    shorter than ``min_words``, and a sentence that nobody else holds is in no row.
+    component_id is the smallest doc_id of the class, or the smallest that holds each of
+    the row's sentences: the holder that keeps them.  kept is true there, for a paragraph
+    at its first place; without the passages that are not kept no sentence is lost from
+    the corpus.
 
     Null or empty texts and null doc_ids have no passages.  A doc_id that occurs again is
     one document to the sentence search and repeats its paragraphs.  An empty table gives
