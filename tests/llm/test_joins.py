@@ -104,6 +104,22 @@ def test_every_sentence_of_a_passage_keeps_a_holder(spark):
     assert all(r.n_words == r.last - r.first + 1 for r in got)
 
 
+def test_passages_within_a_sentence(spark):
+    """50 words pasted inside a sentence without stops, also where no piece of them is whole."""
+    rng = random.Random(13)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    rows, pasted = [], {}
+    for k in range(150):
+        pasted[k] = words(50)
+        rows += [(2 * k, f"{words(40)} {pasted[k]} {words(40)}"), (2 * k + 1, f"{words(31)} {pasted[k].upper()} {words(27)}")]
+    got = [r for r in repeated_passages(spark.createDataFrame(rows, DOCS)).collect() if r.kind == "passage"]
+    assert {r.doc_id for r in got} == {i for i, _ in rows}
+    texts = {i: t.lower().split() for i, t in rows}
+    for r in got:
+        assert r.component_id == r.doc_id // 2 * 2 and r.kept == (r.doc_id == r.component_id)
+        assert " ".join(texts[r.doc_id][r.first : r.last + 1]) in pasted[r.doc_id // 2]
+
+
 @pytest.mark.parametrize("block", [8, 64])
 def test_embedding_join(spark, block):
     rng = np.random.default_rng(7)

@@ -4,7 +4,9 @@ Paragraphs (lines of 25 words or more) are compared by MinHash banding: bands ar
 a recall, paragraphs that collide in a band are joined, the exact Jaccard similarity of
 their five-word shingles decides, and connected components are the classes.  A passage
 that was pasted inside a paragraph is found in the same way at similarity 1 by smaller
-pieces, its sentences: runs of sentences that other documents hold too.
+pieces, its sentences: runs of sentences that other documents hold too.  Winnowed windows
+of words beside them meet in every run of 50 words that two documents share, wherever
+sentences end.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import _splitmix, cut, mix, set_digests, shingle_hashes, slices, sorted_sets, span_hashes, texts, word_spans
+from tidemark.llm.common import _powers, _splitmix, cut, mix, set_digests, shingle_hashes, slices, sorted_sets, span_hashes, texts, word_spans
 from tidemark.llm.components import linked_components, overlap_links
 from tidemark.llm.incidence import _runs, shared_columns
 
@@ -29,6 +31,8 @@ SHORT_SENTENCE = 3
 BRIDGE = 16  # words between shared ones of one run, two pieces of a long sentence
 LONGEST = 4096
 LENGTH_BITS = 13
+WINDOW = 25  # words
+WINNOW = 26  # a run of WINDOW + WINNOW - 1 words that two texts share has a window in both
 BUCKET_ENTRIES = 1_500_000
 BROADCAST_ROWS = 200_000  # of one integer each
 
@@ -144,9 +148,35 @@ def _sets(min_words: int):
     return run
 
 
+def _windows(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and digests of the winnowed windows: each window of WINDOW words that is
+    the least of WINNOW neighbouring ones, and the least of each text of WINDOW words."""
+    n = len(hashes) - WINDOW + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    r, inv = _powers(len(hashes))
+    with np.errstate(over="ignore"):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(hashes * r)])
+        digest = mix((total[WINDOW:] - total[:-WINDOW]) * inv[:n] ^ np.uint64(0x57A3))
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    inside = doc[:n] == doc[WINDOW - 1 :]
+    digest = np.where(inside, digest, top)
+    first = _runs(doc[:n])
+    taken = digest == np.repeat(np.minimum.reduceat(digest, first), np.diff(np.append(first, n)))
+    m = n - WINNOW + 1
+    if m > 0:
+        low = np.lib.stride_tricks.sliding_window_view(digest, WINNOW).min(axis=1)
+        low = np.where(doc[:m] == doc[WINDOW + WINNOW - 2 :], low, np.uint64(0))
+        padded = np.concatenate([np.zeros(WINNOW - 1, np.uint64), low, np.zeros(WINNOW - 1, np.uint64)])
+        taken |= digest == np.lib.stride_tricks.sliding_window_view(padded, WINNOW).max(axis=1)
+    begin = np.flatnonzero(taken & inside)
+    return begin, digest[begin]
+
+
 def _read_sentences(ids, nulls, offsets, data):
     """Sentences of documents as columns, their places and words as extras; a long one is
-    cut where the hash of a word says so, which falls alike wherever the sentence stands."""
+    cut where the hash of a word says so, which falls alike wherever the sentence stands.
+    Winnowed windows are columns too, with no words in their extras."""
     hashes, doc, _, sentence = _pieces(data, offsets)
     if not len(hashes):
         return ids[:0], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -163,34 +193,66 @@ def _read_sentences(ids, nulls, offsets, data):
         # The place of a word in its piece weighs its hash.
         weight = _splitmix(int(words.max()), 0x51ED) | np.uint64(1)
         digest = mix(np.add.reduceat(hashes * weight[place % LONGEST], begin) + words.astype(np.uint64))
-    keep = (words >= SHORT_SENTENCE) & ~nulls[owner]
+    begin, window = _windows(hashes, doc)
+    digest = np.concatenate([digest, window])
+    at = np.concatenate([at, begin - np.searchsorted(doc, doc[begin])])
+    keep = np.concatenate([words >= SHORT_SENTENCE, np.ones(len(begin), dtype=bool)])
+    words = np.concatenate([words, np.zeros(len(begin), np.int64)])
+    owner = np.concatenate([owner, doc[begin]])
+    order = np.flatnonzero(keep & ~nulls[owner])
+    order = order[np.argsort(owner[order], kind="stable")]
     extras = (at.astype(np.uint64) << np.uint64(LENGTH_BITS)) | words.astype(np.uint64)
-    per_doc = np.bincount(owner[keep], minlength=len(ids))
-    return ids, np.zeros(len(ids), np.int64), per_doc, digest[keep], extras[keep]
+    per_doc = np.bincount(owner[order], minlength=len(ids))
+    return ids, np.zeros(len(ids), np.int64), per_doc, digest[order], extras[order]
 
 
 def _passages(min_words: int):
-    """Runs of shared sentences within each document, parted by first holder."""
+    """Runs of shared sentences and windows within each document, parted by first holder."""
 
     def finish(rows, sizes, columns, extras, values):
         order = np.lexsort((extras, rows))
         rows, extras, values = rows[order], extras[order], values[order]
-        at, words = extras >> LENGTH_BITS, extras & ((1 << LENGTH_BITS) - 1)
         fresh = np.ones(len(rows), dtype=bool)
-        fresh[1:] = (rows[1:] != rows[:-1]) | (at[1:] != at[:-1])
-        rows, at, words, holder = rows[fresh], at[fresh], words[fresh], values[fresh]
-        stop = at + words
-        other = rows[1:] != rows[:-1]
-        starts = np.ones(len(rows), dtype=bool)
-        starts[1:] = other | (at[1:] - stop[:-1] > BRIDGE)
+        fresh[1:] = (rows[1:] != rows[:-1]) | (extras[1:] != extras[:-1])
+        rows, extras, values = rows[fresh], extras[fresh], values[fresh]
+        # Places of all rows on one axis; row k begins at k << 34.
+        begin = _runs(rows)
+        base = np.repeat(np.arange(len(begin)) << 34, np.diff(np.append(begin, len(rows))))
+        at, words = base + (extras >> LENGTH_BITS), extras & ((1 << LENGTH_BITS) - 1)
+        piece = words > 0
+        p_at, p_stop, p_holder = at[piece], (at + words)[piece], values[piece]
+        w_at, w_holder = at[~piece], values[~piece]
+        # Between neighbouring ends of spans: the holder of the sentence there, else the
+        # smallest of the windows there.
+        points = np.unique(np.concatenate([p_at, p_stop, w_at, w_at + WINDOW]))
+        at, stop = points[:-1], points[1:]
+        holder = np.zeros(len(at), np.int64)
+        shared = np.zeros(len(at), dtype=bool)
+        if len(w_at):
+            lo, hi = np.searchsorted(w_at, at - WINDOW, side="right"), np.searchsorted(w_at, at, side="right")
+            shared = hi > lo
+            pairs = np.stack([lo, hi], axis=1)[shared].reshape(-1)
+            holder[shared] = np.minimum.reduceat(np.append(w_holder, 0), pairs)[::2]
+        if len(p_at):
+            k = np.searchsorted(p_at, at, side="right") - 1
+            within = (k >= 0) & (p_stop[k] > at)
+            holder[within] = p_holder[k[within]]
+            shared |= within
+        at, stop, holder = at[shared], stop[shared], holder[shared]
+        row = at >> 34
+        starts = np.ones(len(at), dtype=bool)
+        starts[1:] = (row[1:] != row[:-1]) | (at[1:] - stop[:-1] > BRIDGE)
         run = np.cumsum(starts) - 1
-        # What lies between shared sentences is not part of a passage: nobody else has it.
+        # What lies between shared spans is not part of a passage: nobody else has it.
         parts = starts.copy()
         parts[1:] |= (at[1:] != stop[:-1]) | (holder[1:] != holder[:-1])
         first = np.flatnonzero(parts)
-        last = np.append(first[1:], len(rows)) - 1
-        keep = (np.add.reduceat(words, np.flatnonzero(starts)) >= min_words)[run[first]]
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (rows[first], at[first], stop[last] - 1, stop[last] - at[first], holder[first])], names=["doc_id", "first", "last", "n_words", "component_id"])
+        last = np.append(first[1:], len(at)) - 1
+        keep = (np.add.reduceat(stop - at, np.flatnonzero(starts)) >= min_words)[run[first]]
+        first, last = first[keep], last[keep]
+        start = at[first] & ((1 << 34) - 1)
+        n_words = stop[last] - at[first]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[begin][row[first]], start, start + n_words - 1, n_words, holder[first])], names=["doc_id", "first", "last", "n_words", "component_id"])
 
     return finish
 
@@ -201,15 +263,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     kind "paragraph": a line of ``min_words`` or more whose shingle set is linked, over
     pairs of similarity ``threshold`` or more, with that of another line of the corpus;
-    first = last = its number in the document.  kind "passage": sentences that other
-    documents hold word for word (case of A-Z aside), out of a run with ``min_words`` or
-    more in all; first and last number the words of the document, from 0.  A run has a row
-    for each stretch of neighbouring sentences with the same first holder, so a row may be
-    shorter than ``min_words``, and a sentence that nobody else holds is in no row.
-    component_id is the smallest doc_id of the class, or the smallest that holds each of
-    the row's sentences: the holder that keeps them.  kept is true there, for a paragraph
-    at its first place; without the passages that are not kept no sentence is lost from
-    the corpus.
+    first = last = its number in the document.  kind "passage": words of sentences or
+    25-word windows that other documents hold too (case of A-Z aside), out of a run with
+    ``min_words`` or more in all; first and last number the words of the document, from 0.
+    Any 50 words in a row that two documents share are found; their ends may be up to a
+    piece short.  A run has a row for each stretch with the same first holder, so a row
+    may be shorter than ``min_words``, and words that nobody else holds are in no row.
+    component_id is the smallest doc_id of the class, or the smallest that holds the
+    row's sentences or windows: the holder that keeps them.  kept is true there, for a
+    paragraph at its first place; without the passages that are not kept no shared words
+    are lost from the corpus.
 
     Null or empty texts and null doc_ids have no passages.  A doc_id that occurs again is
     one document to the sentence search and repeats its paragraphs.  An empty table gives
@@ -243,9 +306,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.col("one.doc_id").alias("component_id"), ((F.col("doc_id") == F.col("one.doc_id")) & (F.col("number") == F.col("one.number"))).alias("kept"),
     )
 
-    # Passages: a sentence has some 50 characters.
+    # Passages: sentences and windows, one in some 30 characters; buckets are half full, since
+    # an entry has its place beside it.
     schema = "doc_id long, first long, last long, n_words long, component_id long"
-    passages = shared_columns(source, buckets(n_words // 50), _read_sentences, _passages(min_words), schema, value="first", has_extras=True)
+    passages = shared_columns(source, buckets(n_words // 15), _read_sentences, _passages(min_words), schema, value="first", has_extras=True)
     passages = passages.select("doc_id", F.lit("passage").alias("kind"), "first", "last", "n_words", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     return paragraphs.unionByName(passages)
 
