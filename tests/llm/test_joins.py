@@ -120,6 +120,17 @@ def test_passages_within_a_sentence(spark):
         assert " ".join(texts[r.doc_id][r.first : r.last + 1]) in pasted[r.doc_id // 2]
 
 
+def test_null_ids_before_their_twins(spark):
+    rng = random.Random(17)
+    text = sentence(rng, 60)
+    near = text.split()
+    near[30] = "changed"
+    df = spark.createDataFrame([(None, text), (5, text), (6, " ".join(near))], DOCS).coalesce(1)
+    assert {(r.doc_id, r.component_id) for r in ngram_jaccard_components(df).collect()} == {(None, None), (5, 5), (6, 5)}
+    got = [r for r in repeated_passages(df).collect() if r.kind == "paragraph"]
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(5, 5, True), (6, 5, False)}
+
+
 @pytest.mark.parametrize("block", [8, 64])
 def test_embedding_join(spark, block):
     rng = np.random.default_rng(7)

@@ -43,10 +43,10 @@ def _measure(batches):
 def _read(ids, nulls, offsets, data):
     flat, sizes = text_sets(data, offsets)
     digests = set_digests(flat, sizes).view(np.int64)
-    _, first = np.unique(digests, return_index=True)
+    real = np.flatnonzero((sizes > 0) & ~nulls)
+    _, first = np.unique(digests[real], return_index=True)
     keep = np.zeros(len(sizes), dtype=bool)
-    keep[first] = True
-    keep &= (sizes > 0) & ~nulls
+    keep[real[first]] = True
     return digests[keep], sizes[keep], sizes[keep], flat[np.repeat(keep, sizes)], np.zeros(0, np.uint64)
 
 

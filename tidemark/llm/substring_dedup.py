@@ -100,10 +100,10 @@ def _read_paragraphs(bands: int, rows: int, min_words: int):
     def read(ids, nulls, offsets, data):
         owner, _, _, flat, sizes = paragraph_sets(data, offsets, min_words)
         nodes = set_digests(flat, sizes).view(np.int64)
-        _, first = np.unique(nodes, return_index=True)
+        real = np.flatnonzero(~nulls[owner])
+        _, first = np.unique(nodes[real], return_index=True)
         keep = np.zeros(len(nodes), dtype=bool)
-        keep[first] = True
-        keep &= ~nulls[owner]
+        keep[real[first]] = True
         flat, sizes = flat[np.repeat(keep, sizes)], sizes[keep]
         if not len(sizes):
             return np.zeros(0, np.int64), sizes, sizes, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
