@@ -1,8 +1,10 @@
 """The pipeline's stages, each against what its operator says of its own input."""
 
+import random
+
 import corpus_pipeline as pipeline
 import public_tokenizers
-from helpers import jaccard_components
+from helpers import jaccard_components, sentence
 
 from tidemark.llm import bpe
 
@@ -43,3 +45,28 @@ def test_stages(spark):
 def test_run(spark):
     out = pipeline.run(spark, SF)
     assert out.count() > 0 and "ids_sha256" in out.columns
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_copies_are_not_boilerplate(spark):
+    """A third of a source are copies, exact and near; lines of other documents repeat."""
+    rng = random.Random(19)
+    base = [sentence(rng, 12) for _ in range(12)]
+    notice = "all of this is a notice"
+    texts = {}
+    for i in range(30):
+        near = list(base)
+        near[i % 12] = " ".join(near[i % 12].split()[:-1] + ["changed"])
+        texts[i] = "\n".join(base if i % 2 else near)
+    for i in range(30, 80):
+        texts[i] = "\n".join([notice] * (i % 2) + [sentence(rng, 12) for _ in range(3)])
+    texts |= {i: notice for i in range(80, 90)}
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts.items()] + [(None, notice, "en", "s", len(notice)), (91, None, "en", "s", None)]
+    got = {r.doc_id: r for r in pipeline.drop_source_lines(spark, spark.createDataFrame(rows, COLUMNS).repartition(3), SF).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for i, t in texts.items():
+        expected = t.replace(notice + "\n", "") if i < 80 else t if i == 80 else ""
+        assert (got[i].text, got[i].n_chars) == (expected, len(expected)), i
+    assert got[None].text == notice and got[91].text is None

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
+from tidemark.llm.ngram_join import ngram_jaccard_components
 
 RATIO = 0.1
 MIN_PAGES = 3
 BROADCAST_ROWS = 100_000
+WHOLE_ROWS = 1_000_000  # of one integer each
 
 # Markup that carries no text, elements that end a line, common entities.
 _UNSEEN = r"(?s)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
@@ -45,22 +47,33 @@ def _digest(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, classes: DataFrame | None = None) -> DataFrame:
     """host, drop: digests of the lines that more than ``ratio`` of the host's pages (and
     at least ``min_pages``) contain.  ``pages`` has (host, text).
 
     Both counts are partially aggregated, the large one on (host, line), so neither a hot
     host nor a hot line gathers rows.  A page with L different lines can hold at most L,
     so a host has at most (mean L) / ratio such lines: ``drop`` stays short.
+
+    With ``classes`` (doc_id, page; one row per doc_id) ``pages`` has doc_id too, and the
+    documents of a host with one page number count as one page; those without a number
+    count once for each text.
     """
-    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
-    lines = pages.select("host", F.explode(F.array_distinct(F.transform(F.filter(_lines("text"), lambda x: F.trim(x) != ""), _digest))).alias("line"))
+    digests = F.array_distinct(F.transform(F.filter(_lines("text"), lambda x: F.trim(x) != ""), _digest))
+    if classes is None:
+        totals, lines = pages, pages.select("host", F.explode(digests).alias("line"))
+    else:
+        held = pages.select("host", "doc_id", digests.alias("lines"), F.xxhash64("text").alias("own")).join(classes, "doc_id", "left")
+        held = cut(held.select("host", "lines", F.coalesce("page", "own").alias("page")))
+        totals = held.select("host", "page").distinct()
+        lines = held.select("host", "page", F.explode("lines").alias("line")).distinct()
+    totals = totals.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
     held = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_holding")).where(F.col("n_holding") >= min_pages)
     over = held.join(totals, "host").where(F.col("n_holding") > F.lit(ratio) * F.col("n_pages"))
     return over.groupBy("host").agg(F.collect_set("line").alias("drop"))
 
 
-def drop_site_lines(rows: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_site_lines(rows: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, classes: DataFrame | None = None) -> DataFrame:
     """row (all columns of ``rows``), kept (the text without its host's boilerplate lines),
     n_lines, n_dropped.
 
@@ -68,10 +81,11 @@ def drop_site_lines(rows: DataFrame, host: Column, text: Column, ratio: float =
     neither exploded into the result nor gathered again; beyond BROADCAST_ROWS hosts with
     such lines the join is shuffled on the host, and adaptive execution splits a hot one.
     Null host: a host of its own.  Null text: no lines.  Blank lines are kept and not
-    counted.  Equal rows count as so many pages.
+    counted.  Equal rows count as so many pages, or as ``classes`` says of their doc_id.
     """
     named = rows.select(F.struct("*").alias("row"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(text, F.lit("")).alias("text"))
-    drop = cut(boilerplate_lines(named.select("host", "text"), ratio, min_pages))
+    pages = named.select("host", "text") if classes is None else named.select("host", "text", "row.doc_id")
+    drop = cut(boilerplate_lines(pages, ratio, min_pages, classes))
     small = drop.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     joined = named.join(F.broadcast(drop) if small else drop, "host", "left")
     lines = _lines(F.col("text"))
@@ -98,9 +112,22 @@ def dedup_page_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MI
 def dedup_document_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` (doc_id, text, lang, source, n_chars) with the lines of their source that
     are boilerplate dropped from text, and n_chars to match.  Texts without such lines,
-    null ones among them, stay as they are; no row goes."""
-    out = drop_site_lines(docs, F.col("source"), F.col("text"), ratio, min_pages)
-    hit = F.col("n_dropped") > 0
+    null ones among them, stay as they are; no row goes.
+
+    Exact and near copies of a document (operator 9) count as one page of a source, so a
+    group of copies alone makes none of its lines boilerplate.  Of documents that hold
+    nothing but boilerplate, the one with the smallest doc_id of each text stays whole, as
+    do those without a doc_id.
+    """
+    near = ngram_jaccard_components(docs).where(F.col("doc_id").isNotNull())
+    classes = near.groupBy("doc_id").agg(F.min("component_id").alias("page"))
+    out = drop_site_lines(docs, F.col("source"), F.col("text"), ratio, min_pages, classes)
+    blank = (F.col("n_lines") > 0) & (F.col("n_dropped") == F.col("n_lines"))
+    whole = out.where(blank & F.col("row.doc_id").isNotNull()).groupBy(F.xxhash64("row.text").alias("same")).agg(F.min("row.doc_id").alias("doc_id"))
+    whole = cut(whole.select(F.col("doc_id").alias("whole")).distinct())
+    small = whole.limit(WHOLE_ROWS + 1).count() <= WHOLE_ROWS
+    out = out.join(F.broadcast(whole) if small else whole, F.col("row.doc_id") == F.col("whole"), "left")
+    hit = (F.col("n_dropped") > 0) & ~(blank & (F.col("whole").isNotNull() | F.col("row.doc_id").isNull()))
     new = {"text": F.when(hit, F.col("kept")).otherwise(F.col("row.text")), "n_chars": F.when(hit, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))}
     return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
