@@ -70,3 +70,18 @@ def test_copies_are_not_boilerplate(spark):
         expected = t.replace(notice + "\n", "") if i < 80 else t if i == 80 else ""
         assert (got[i].text, got[i].n_chars) == (expected, len(expected)), i
     assert got[None].text == notice and got[91].text is None
+
+
+def test_boilerplate_goes_in_every_source(spark):
+    """Lines on 4, 4 and 10 of 100 documents of a source go, one on 2 stays."""
+    rng = random.Random(23)
+    planted = {n: sentence(rng, 8) for n in (3, 4, 9)}
+    rare = sentence(rng, 8)
+    rows = []
+    for source in range(4):
+        for i in range(100):
+            lines = [sentence(rng, 12) for _ in range(3)] + [line for n, line in planted.items() if i % (100 // n) == 0] + [rare] * (i < 2)
+            rows.append((100 * source + i, "\n".join(lines), "en", f"s{source}", 0))
+    got = [r.text.split("\n") for r in pipeline.drop_source_lines(spark, spark.createDataFrame(rows, COLUMNS).repartition(3), SF).collect()]
+    assert not [t for t in got if set(t) & set(planted.values())]
+    assert sum(rare in t for t in got) == 8

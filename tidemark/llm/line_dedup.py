@@ -13,6 +13,7 @@ from tidemark.llm.common import cut
 from tidemark.llm.ngram_join import ngram_jaccard_components
 
 RATIO = 0.1
+DOCUMENT_RATIO = 0.01  # of classes of near copies, so what repeats is no copy
 MIN_PAGES = 3
 BROADCAST_ROWS = 100_000
 WHOLE_ROWS = 1_000_000  # of one integer each
@@ -109,7 +110,7 @@ def dedup_page_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MI
     return out.select("row.page_id", "row.host", "n_lines", "n_dropped", F.col("kept").alias("kept_text"))
 
 
-def dedup_document_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def dedup_document_lines(docs: DataFrame, ratio: float = DOCUMENT_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` (doc_id, text, lang, source, n_chars) with the lines of their source that
     are boilerplate dropped from text, and n_chars to match.  Texts without such lines,
     null ones among them, stay as they are; no row goes.
