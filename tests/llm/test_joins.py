@@ -8,7 +8,7 @@ import pytest
 from helpers import components, documents, jaccard_components, sentence
 
 from tidemark.llm import components as linking
-from tidemark.llm import incidence
+from tidemark.llm import embedding_join, incidence
 from tidemark.llm.components import connected_components
 from tidemark.llm.embedding_join import near_duplicate_embeddings
 from tidemark.llm.ngram_join import ngram_jaccard_components
@@ -153,3 +153,10 @@ def test_embedding_join(spark, block):
     assert near_duplicate_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     null = near_duplicate_embeddings(spark.createDataFrame([(None, [1.0])], "vec_id long, embedding array<double>")).first()
     assert (null.n_links, null.component_id, null.kept) == (0, None, False)
+
+
+def test_embedding_join_of_too_many_lengths(spark, monkeypatch):
+    monkeypatch.setattr(embedding_join, "MAX_LENGTHS", 2)
+    df = spark.createDataFrame([(n, [1.0] * n) for n in (1, 2, 3)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="different lengths"):
+        near_duplicate_embeddings(df)

@@ -22,6 +22,7 @@ from tidemark.llm.components import connected_components
 COSINE = 0.9
 BLOCK = 2048
 MAX_PIVOTS = 256
+MAX_LENGTHS = 1000
 _SLACK = 1e-5  # more than the rounding of a single-precision product of unit vectors
 
 
@@ -143,7 +144,8 @@ def near_duplicate_embeddings(
     the driver holds; cells may grow beyond ``block``, blocks don't.
 
     A vector that is null, empty, zero or holds null, NaN or an infinity links with
-    nothing, nor do vectors of different length.  Null vec_id: n_links 0, component_id
+    nothing, nor do vectors of different length; more than MAX_LENGTHS different lengths
+    are an error, since each is a join of its own.  Null vec_id: n_links 0, component_id
     null, kept false.  A vec_id that occurs again: its rows are vectors of their own (equal
     ones link) that share their number.  Empty table: no rows.  Other columns are not read.
     """
@@ -156,7 +158,10 @@ def near_duplicate_embeddings(
     reps = read.where("h is not null").groupBy("h").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight"), F.any_value("v").alias("v"))
     reps = cut(reps)
     found = None
-    for dim in sorted(r[0] for r in reps.select(F.size("v")).distinct().limit(1000).collect()):
+    dims = sorted(r[0] for r in reps.select(F.size("v")).distinct().limit(MAX_LENGTHS + 1).collect())
+    if len(dims) > MAX_LENGTHS:
+        raise ValueError(f"vectors of more than {MAX_LENGTHS} different lengths")
+    for dim in dims:
         part = _range_join(reps.where(F.size("v") == dim).select("vec_id", "weight", "v"), dim, cosine, block, max_pivots)
         found = part if found is None else found.unionByName(part)
     if found is None:
