@@ -9,6 +9,7 @@ from helpers import components, documents, jaccard_components, sentence
 
 from tidemark.llm import components as linking
 from tidemark.llm import embedding_join, incidence
+from tidemark.llm.common import span_hashes
 from tidemark.llm.components import connected_components
 from tidemark.llm.embedding_join import near_duplicate_embeddings
 from tidemark.llm.ngram_join import ngram_jaccard_components
@@ -44,6 +45,7 @@ def test_ngram_join(spark, seed):
 def test_ngram_join_with_frequent_columns_and_small_blocks(spark, monkeypatch):
     """Many near copies that don't all link: frequent columns, pivots and block products."""
     monkeypatch.setattr(incidence, "FREQUENT", 3)
+    monkeypatch.setattr(incidence, "BUCKET_ENTRIES", 500)
     monkeypatch.setattr(linking, "BLOCK", 4)
     monkeypatch.setattr(linking, "BIG", 2)
     rng = random.Random(5)
@@ -83,25 +85,97 @@ def test_repeated_passages(spark):
     ]
     got = repeated_passages(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kind string")).collect()
     paragraphs = {r.doc_id: (r.component_id, r.kept) for r in got if r.kind == "paragraph"}
-    passages = {r.doc_id: (r.component_id, r.kept) for r in got if r.kind == "passage"}
+    passages = {(r.doc_id, r.component_id, r.kept) for r in got if r.kind == "passage"}
     assert paragraphs == {4: (4, True), 5: (4, False), 6: (4, False)}
-    assert passages[1] == (1, True) and passages[2] == (1, False)
+    assert {(1, 1, True), (2, 1, False), (4, 4, True), (5, 4, False)} <= passages
     assert {3, 9, 10}.isdisjoint({r.doc_id for r in got})
+    assert all(r.component_id <= r.doc_id and (not r.kept or r.component_id == r.doc_id) for r in got)
     assert repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_every_sentence_of_a_passage_keeps_a_holder(spark):
-    rng = random.Random(11)
-    text = lambda n: ". ".join(sentence(rng, 10).capitalize() for _ in range(n)) + "."
-    one, two, between = text(3), text(3), text(1)
-    rows = [(1, text(4) + " " + one + " " + text(4)), (9, text(3) + " " + one + " " + two + " " + text(3)), (12, text(5) + " " + two + " " + text(2))]
-    rows += [(20, one + " " + between + " " + two)]
-    words = {i: t.lower().split() for i, t in rows}
-    got = [r for r in repeated_passages(spark.createDataFrame(rows, DOCS)).collect() if r.kind == "passage"]
-    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(1, 1, True), (9, 1, False), (9, 9, True), (12, 9, False), (20, 1, False), (20, 9, False)}
-    spans = {(r.doc_id, r.component_id): " ".join(words[r.doc_id][r.first : r.last + 1]) for r in got}
-    assert all(spans[i, h] == spans[h, h] == (one if h == 1 else two).lower() for i, h in spans)
-    assert all(r.n_words == r.last - r.first + 1 for r in got)
+def unique_words(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n)]
+
+
+def test_random_pastes_against_brute_force(spark):
+    """Runs of 50 words and more, pasted anywhere: every pair is found, every word that goes
+    has a copy that stays, and words that nobody else has stay, bar a window's edge."""
+    rng = random.Random(23)
+    pool = [unique_words(rng, rng.randint(50, 90)) for _ in range(40)]
+    rows, spans = [], {}
+    for i in range(120):
+        words = unique_words(rng, rng.randint(5, 60))
+        for k in rng.sample(range(40), rng.randint(0, 3)):
+            spans.setdefault(i, []).append((len(words), len(words) + len(pool[k]), k))
+            words += pool[k] + unique_words(rng, rng.choice([0, 1, 2, 9, 40]))
+        rows.append((i, words))
+    # Once alone and with a repeat in the same document only.
+    alone = unique_words(rng, 60)
+    rows.append((500, alone + unique_words(rng, 5) + alone))
+    df = spark.createDataFrame([(i, "".join(w + rng.choice([" ", "  ", "\n", "\t"]) for w in words)) for i, words in rows], DOCS).repartition(5)
+    got = repeated_passages(df, min_words=10**6).collect()
+    holders = {k: {i for i, found in spans.items() for _, _, own in found if own == k} for k in range(40)}
+    pairs = missed = 0
+    for i, found in spans.items():
+        for a, b, k in found:
+            if len(holders[k]) > 1:
+                pairs += 1
+                missed += not any(r.doc_id == i and min(r.last + 1, b) - max(r.first, a) >= 35 for r in got)
+    assert pairs > 60 and missed == 0
+    assert 500 not in {r.doc_id for r in got}
+    text = dict(rows)
+    gone = {(r.doc_id, at) for r in got if not r.kept for at in range(r.first, r.last + 1)}
+    stay = {w for i, words in rows for at, w in enumerate(words) if (i, at) not in gone}
+    count = {}
+    for _, words in rows:
+        for w in words:
+            count[w] = count.get(w, 0) + 1
+    lost = {text[i][at] for i, at in gone} - stay
+    assert all(count[w] == 1 for w in lost)  # what anybody shares has a copy left
+    for r in got:  # unique words in a row: at most four, a shingle less one
+        run = longest = 0
+        for w in text[r.doc_id][r.first : r.last + 1]:
+            run = run + 1 if count[w] == 1 else 0
+            longest = max(longest, run)
+        assert r.kept or longest <= 4
+
+
+def test_paragraph_recall_against_brute_force(spark):
+    """Edited lines: of the pairs with similarity 0.8 or more nine tenths at least share a
+    class (all, as measured), and no others."""
+    rng = random.Random(29)
+    rows = []
+    for k in range(80):
+        base = sentence(rng, rng.randint(26, 120)).split()
+        for j in range(4):
+            v = list(base)
+            for _ in range(rng.randint(0, 4)):
+                v[rng.randrange(len(v))] = rng.choice(["new", "other", "else"])
+            rows.append((4 * k + j, " ".join(v)))
+    got = {r.doc_id: r.component_id for r in repeated_passages(spark.createDataFrame(rows, DOCS)).collect() if r.kind == "paragraph"}
+    sizes, roots = jaccard_components(rows)
+    groups = {}
+    for i, c in roots.items():
+        groups.setdefault(c, []).append(i)
+    pairs = [(a, b) for g in groups.values() for a, b in combinations(g, 2)]
+    found = sum(a in got and got.get(a) == got.get(b) for a, b in pairs)
+    assert len(pairs) > 100 and found >= 0.99 * len(pairs)
+    assert all(roots[i] == roots[c] for i, c in got.items())
+
+
+def test_words_whose_hashes_could_collide(spark):
+    """Thue-Morse words and their complements, which polynomial hashes confuse."""
+    def morse(n):
+        return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+    for n in (8, 16, 64, 65, 1024, 2048):
+        one = morse(n)
+        other = one.translate(str.maketrans("ab", "ba"))
+        assert len({int(h) for h in span_hashes(np.frombuffer((one + other).encode(), np.uint8), np.array([0, n]), np.array([n, 2 * n]))}) == 2
+    rest = sentence(random.Random(1), 60)
+    rows = [(1, morse(2048)), (2, morse(2048).translate(str.maketrans("ab", "ba"))), (3, f"{rest} {morse(1024)}\n"), (4, morse(2048).upper())]
+    got = {r.doc_id: r.component_id for r in ngram_jaccard_components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 1}
 
 
 def test_passages_within_a_sentence(spark):
@@ -117,7 +191,8 @@ def test_passages_within_a_sentence(spark):
     texts = {i: t.lower().split() for i, t in rows}
     for r in got:
         assert r.component_id == r.doc_id // 2 * 2 and r.kept == (r.doc_id == r.component_id)
-        assert " ".join(texts[r.doc_id][r.first : r.last + 1]) in pasted[r.doc_id // 2]
+        own = texts[r.doc_id][r.first : r.last + 1]
+        assert sum(w in pasted[r.doc_id // 2].split() for w in own) >= len(own) - 4
 
 
 def test_null_ids_before_their_twins(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -80,6 +81,7 @@ def slices(batches: Iterable[pa.RecordBatch], max_bytes: int = 1 << 20) -> Itera
 
 
 # --- hashing -------------------------------------------------------------------------
+# The increment and the two multipliers of SplitMix64.
 def _splitmix(n: int, seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         z = (np.arange(1, n + 1, dtype=_U64) * _U64(0x9E3779B97F4A7C15)) + _U64(seed)
@@ -89,37 +91,20 @@ def _splitmix(n: int, seed: int) -> np.ndarray:
 
 
 def mix(z: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (every output bit depends on every input bit)."""
+    """A 64-bit finaliser (every output bit depends on every input bit, none is lost)."""
     with np.errstate(over="ignore"):
         z = (z ^ (z >> _U64(30))) * _U64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> _U64(27))) * _U64(0x94D049BB133111EB)
         return z ^ (z >> _U64(31))
 
 
-_R = 0x9E3779B97F4A7C13  # odd, and 3 mod 8
-_R_INV = pow(_R, -1, 1 << 64)
-_BLOCK = 1 << 21
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("r")
-    if have is None or len(have) < n:
-        size = max(n, 1 << 20)
-        with np.errstate(over="ignore"):
-            for name, base in (("r", _R), ("inv", _R_INV)):
-                out = np.full(size, _U64(base), dtype=_U64)
-                out[0] = _U64(1)
-                _POWERS[name] = np.multiply.accumulate(out, dtype=_U64)
-    return _POWERS["r"][:n], _POWERS["inv"][:n]
-
-
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = _splitmix(256, 0x2545F4914F6CDD1D)
-_BYTE_LOWER = _BYTE[_LOWER]
+_LANE = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=_U64)  # the low k bytes
+LONG_SPAN = 64
+_SPANS = 1 << 18
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,30 +122,59 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(begins), np.flatnonzero(ends)
 
 
+def span_lanes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lane: int) -> np.ndarray:
+    """Bytes ``8 * lane`` and on of each span as one integer, bytes beyond the span as zero;
+    ``data`` has eight bytes more than the last span needs."""
+    eights = np.ndarray(shape=(max(len(data) - 7, 0),), dtype="<u8", buffer=data, strides=(1,))
+    return eights[starts + 8 * lane] & _LANE[np.minimum(sizes - 8 * lane, 8)]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """64-bit hash of each span of bytes, A-Z as a-z when ``fold``: a polynomial in an odd
-    base over random byte values, from one running sum.  Long inputs go block by block."""
+    """64-bit hash of each span of bytes, A-Z as a-z when ``fold``.
+
+    The length and then eight bytes at a time are mixed in, so two spans of one length up
+    to eight bytes never agree; spans over LONG_SPAN bytes take XXH3.  ``starts`` ascend.
+    """
     out = np.empty(len(starts), dtype=_U64)
-    table = _BYTE_LOWER if fold else _BYTE
-    done = 0
-    while done < len(starts):
-        base = int(starts[done])
-        stop = int(np.searchsorted(ends, base + _BLOCK, side="right"))
-        stop = max(stop, done + 1)
-        last = int(ends[stop - 1])
-        r, inv = _powers(last - base)
+    for a in range(0, len(starts), _SPANS):
+        begin = starts[a : a + _SPANS]
+        sizes = ends[a : a + _SPANS] - begin
+        base, stop = int(begin[0]), int(begin[-1] + sizes[-1])
+        part = np.zeros(stop - base + 8, dtype=np.uint8)
+        part[:-8] = _LOWER[data[base:stop]] if fold else data[base:stop]
+        begin = begin - base
         with np.errstate(over="ignore"):
-            total = np.zeros(last - base + 1, dtype=_U64)
-            np.cumsum(table[data[base:last]] * r, out=total[1:])
-            s, e = starts[done:stop] - base, ends[done:stop] - base
-            out[done:stop] = mix((total[e] - total[s]) * inv[s] + (e - s).astype(_U64))
-        done = stop
+            h = mix(sizes.astype(_U64) * _U64(0x9E3779B97F4A7C15))
+        h = mix(h ^ span_lanes(part, begin, sizes, 0))
+        rest = np.flatnonzero((sizes > 8) & (sizes <= LONG_SPAN))
+        lane = 1
+        while len(rest):
+            h[rest] = mix(h[rest] ^ span_lanes(part, begin[rest], sizes[rest], lane))
+            lane += 1
+            rest = rest[sizes[rest] > 8 * lane]
+        raw = memoryview(part)
+        for i in np.flatnonzero(sizes > LONG_SPAN).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(raw[int(begin[i]) : int(begin[i] + sizes[i])])
+        out[a : a + _SPANS] = h
     return out
 
 
 _POSITION = _splitmix(SHINGLE_WORDS + 1, 0x6A09E667F3BCC909) | _U64(1)
 
 
+def rolling_hashes(words: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:
+    """Hash of the k words from each place on (len(words) - k + 1 of them)."""
+    n = len(words) - k + 1
+    if n < 1:
+        return np.zeros(0, _U64)
+    with np.errstate(over="ignore"):
+        total = np.full(n, _U64(k) * _POSITION[k])
+        for j in range(k):
+            part = words[j : j + n] * _POSITION[j]
+            total += part ^ (part >> _U64(31))
+        return mix(total)
+
+
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-word shingles of texts laid end to end, and how many each text has.
 
@@ -169,21 +183,17 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int = SHINGLE_WORDS
     """
     n_out = np.where(counts >= k, counts - k + 1, (counts > 0).astype(counts.dtype))
     firsts = np.cumsum(counts) - counts
-    owner = np.repeat(np.arange(len(counts)), n_out)
-    if not len(owner):
-        return np.zeros(0, _U64), n_out
-    begin = np.repeat(firsts - (np.cumsum(n_out) - n_out), n_out) + np.arange(len(owner))
-    with np.errstate(over="ignore"):
-        padded = np.concatenate([words, np.zeros(k, _U64)])
-        total = np.zeros(len(begin), dtype=_U64)
-        length = counts[owner]
-        short = bool((counts < k).any())
-        for j in range(k):
-            part = padded[begin + j] * _POSITION[j]
-            if short:
-                part = np.where(j < length, part, _U64(0))
-            total += part ^ (part >> _U64(31))
-        return mix(total + np.minimum(length, k).astype(_U64) * _POSITION[k]), n_out
+    rolled = rolling_hashes(np.concatenate([words, np.zeros(k - 1, _U64)]), k)
+    inside = np.ones(len(words), dtype=bool)
+    # The last k - 1 places of a text begin no shingle of its own.
+    for j in range(1, k):
+        tail = (firsts + counts - j)[counts >= j]
+        inside[tail] = False
+    short = np.flatnonzero((counts > 0) & (counts < k))
+    inside[firsts[short]] = True
+    for i, a, n in zip(short.tolist(), firsts[short].tolist(), counts[short].tolist(), strict=True):
+        rolled[a] = rolling_hashes(words[a : a + n], n)[0]
+    return rolled[inside], n_out
 
 
 def sorted_sets(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,14 +220,15 @@ def text_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return sorted_sets(*shingle_hashes(words, counts))
 
 
-def set_digests(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each sorted set (0 for an empty one)."""
+def set_digests(flat: np.ndarray, sizes: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit digest of each set (0 for an empty one): the sum of its members, mixed anew."""
     out = np.zeros(len(sizes), dtype=_U64)
-    stops = np.cumsum(sizes)
-    raw = memoryview(np.ascontiguousarray(flat)).cast("B") if len(flat) else b""
-    for i, (a, b) in enumerate(zip((stops - sizes).tolist(), stops.tolist(), strict=True)):
-        if b > a:
-            out[i] = xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b])
+    real = np.flatnonzero(sizes)
+    if len(real):
+        with np.errstate(over="ignore"):
+            at = (np.cumsum(sizes) - sizes)[real]
+            total = np.add.reduceat(mix(flat ^ _U64(0xD6E8FEB86659FD93)), at)
+            out[real] = mix(total + sizes[real].astype(_U64) * _U64(0x9E3779B97F4A7C15) + _U64(seed))
     return out
 
 
@@ -234,6 +245,16 @@ def unpack(blob: bytes, width: int) -> np.ndarray:
     return raw.reshape(-1).view("<u8")
 
 
+def release() -> None:
+    """Gives freed memory of this Python worker back to the system; workers are reused, and
+    what one task held would otherwise count against the executor in all later ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def grouped(batches, key: str, handle: Callable[[Iterator[dict]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
     """Feeds ``handle`` the records of each run of equal keys, one at a time."""
     stream = (dict(zip(b.schema.names, row, strict=True)) for b in batches for row in zip(*(c.to_pylist() if not pa.types.is_binary(c.type) else (v.as_buffer() for v in c) for c in b.columns), strict=True))

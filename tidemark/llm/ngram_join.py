@@ -20,55 +20,75 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, set_digests, slices, text_sets, texts
+from tidemark.llm.common import cut, release, set_digests, slices, text_sets, texts
 from tidemark.llm.components import linked_components, overlap_links
-from tidemark.llm.incidence import _runs, shared_columns
+from tidemark.llm.incidence import FLUSH_ENTRIES, heavy_candidates, heavy_columns, shared_columns
 
 THRESHOLD = (4, 5)
-BUCKET_ENTRIES = 1_500_000
 _ROW = "node long, n long, cols binary, keys array<long>"
 _ROW_ARROW = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("cols", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_NONE = np.zeros(0, np.uint64)
+
+
+def _distinct(digests: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """Mask of the first row of each digest among those that are ``real``."""
+    at = np.flatnonzero(real)
+    keep = np.zeros(len(digests), dtype=bool)
+    keep[at[np.unique(digests[at], return_index=True)[1]]] = True
+    return keep
 
 
 def _measure(batches):
-    """doc_id, set size and set digest of each document."""
+    """doc_id, set size and set digest of each document; besides, shingles that are frequent
+    in a block of entries, as (null, how often, shingle, true)."""
+    names = ["doc_id", "n_shingles", "node", "heavy"]
+
+    def frequent(parts):
+        columns, counts = heavy_candidates(parts)
+        nothing = pa.nulls(len(columns), pa.int64())
+        return pa.RecordBatch.from_arrays([nothing, pa.array(counts, pa.int64()), pa.array(columns.view(np.int64)), pa.array(np.ones(len(columns), bool))], names=names)
+
+    parts, held = [], 0
     for ids, nulls, offsets, data in slices(batches):
         flat, sizes = text_sets(data, offsets)
         digests = set_digests(flat, sizes).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, mask=nulls), pa.array(sizes, type=pa.int64()), pa.array(digests, mask=sizes == 0)], names=["doc_id", "n_shingles", "node"]
-        )
+        keep = _distinct(digests, (sizes > 0) & ~nulls)
+        parts.append(flat[np.repeat(keep, sizes)])
+        held += len(parts[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(sizes, type=pa.int64()), pa.array(digests, mask=sizes == 0), pa.array(np.zeros(len(ids), bool))], names=names)
+        if held >= FLUSH_ENTRIES:
+            yield frequent(parts)
+            parts, held = [], 0
+    if held:
+        yield frequent(parts)
+    release()
 
 
 def _read(ids, nulls, offsets, data):
     flat, sizes = text_sets(data, offsets)
     digests = set_digests(flat, sizes).view(np.int64)
-    real = np.flatnonzero((sizes > 0) & ~nulls)
-    _, first = np.unique(digests[real], return_index=True)
-    keep = np.zeros(len(sizes), dtype=bool)
-    keep[real[first]] = True
-    return digests[keep], sizes[keep], sizes[keep], flat[np.repeat(keep, sizes)], np.zeros(0, np.uint64)
+    keep = _distinct(digests, (sizes > 0) & ~nulls)
+    yield digests[keep], sizes[keep], sizes[keep], flat[np.repeat(keep, sizes)], _NONE
 
 
 def _survivors(num: int, den: int):
-    def finish(rows, sizes, columns, extras, values):
-        order = np.lexsort((columns, values, rows))
-        rows, sizes, columns = rows[order], sizes[order], columns[order]
-        # equal documents of several tasks send the entries of frequent columns once each
-        fresh = np.ones(len(rows), dtype=bool)
-        fresh[1:] = (rows[1:] != rows[:-1]) | (columns[1:] != columns[:-1])
-        rows, sizes, columns = rows[fresh], sizes[fresh], columns[fresh]
-        begin = _runs(rows)
-        shared = np.diff(np.append(begin, len(rows)))
-        n = sizes[begin]
-        need = -(-num * n // den)
-        prefix = n - need + 1 - (n - shared)
+    def finish(rows, sizes, begin, columns, extras, values):
+        need = -(-num * sizes // den)
         out = []
-        for a, s, size, p, node in zip(begin.tolist(), shared.tolist(), n.tolist(), prefix.tolist(), rows[begin].tolist(), strict=True):
+        for i in np.flatnonzero(np.diff(begin) >= need).tolist():
+            own, held = columns[begin[i] : begin[i + 1]], values[begin[i] : begin[i + 1]]
+            order = np.lexsort((own, held))
+            own = own[order]
+            # Equal documents of several tasks bring the entries of heavy columns once each.
+            fresh = np.ones(len(own), dtype=bool)
+            fresh[1:] = own[1:] != own[:-1]
+            own = own[fresh]
+            # A partner holds ``need`` of the n columns, so it shares one of the n - need + 1
+            # rarest; those that nobody shares are the rarest of all.
+            p = int(len(own) - need[i] + 1)
             if p > 0:
-                own = columns[a : a + s]
-                out.append((node, size, np.sort(own).astype("<u8").tobytes(), own[:p].astype(np.int64)))
-            if len(out) >= 2000:
+                out.append((int(rows[i]), int(sizes[i]), np.sort(own).astype("<u8").tobytes(), own[:p].astype(np.int64)))
+            if len(out) >= 1000:
                 yield _rows(out)
                 out = []
         if out:
@@ -97,10 +117,11 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     """
     num, den = threshold
     source = texts(docs, id_col, text_col)
-    measured = cut(source.mapInArrow(_measure, "doc_id long, n_shingles long, node long"))
+    read = cut(source.mapInArrow(_measure, "doc_id long, n_shingles long, node long, heavy boolean"))
+    measured = read.where("not heavy").drop("heavy")
     total = measured.agg(F.sum("n_shingles")).first()[0] or 0
-    n_buckets = max(1, -(-total // BUCKET_ENTRIES))
-    rows = cut(shared_columns(source, n_buckets, _read, _survivors(num, den), _ROW))
+    heavy = heavy_columns(read.where("heavy").select(F.col("node").alias("column"), F.col("n_shingles").alias("n")), total)
+    rows = cut(shared_columns(source, total, _read, _survivors(num, den), _ROW, heavy))
     keys = rows.select(F.explode("keys").alias("key"), "node", "n")
     held = rows.select("node", "n", "cols")
 
