@@ -46,11 +46,34 @@ def test_safe_chunks_keep_the_matches():
         assert sum((regex.findall(public_tokenizers.PATTERN, p) for p in parts), []) == regex.findall(public_tokenizers.PATTERN, text)
 
 
+def test_long_white_space():
+    """Runs of several million, and short ones taken for long, against tiktoken itself."""
+    import re
+
+    enc = bpe.encoding(public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN)
+    assert bpe.encode_text(enc, "a" + " " * 200_000 + "b") == enc.encode_ordinary("a" + " " * 200_000 + "b")
+    for run in (" ", " \n\u3000"):
+        text = "word " + run * 3_000_000 + "word"
+        ids = bpe.encode_text(enc, text)
+        assert enc.decode_bytes(ids) == text.encode()
+    rng = random.Random(3)
+    short = re.compile(f"{bpe._BLANK}{{2,}}")
+    size, bpe.LONG_BLANK = bpe.LONG_BLANK, 1
+    try:
+        for _ in range(400):
+            text = "".join(rng.choice("ab1'st.  \t\n\x1f\x85\u3000é") for _ in range(40))
+            assert bpe.encode_text(enc, text, short) == enc.encode_ordinary(text), text
+    finally:
+        bpe.LONG_BLANK = size
+
+
 def test_token_counts_are_the_librarys(spark):
     from tokenizers import Tokenizer
 
     rng = random.Random(8)
     odd = ["".join(rng.choice("abc st're'll d 12\n\t .,!é中🙂’'") for _ in range(80)) for _ in range(200)]
+    morse = ["".join("ab"[bin(i).count("1") % 2] for i in range(n)) for n in (32, 64, 1024, 2048)]
+    odd += morse + [m.translate(str.maketrans("ab", "ba")) for m in morse]
     rows = documents(6, 10) + [(1000 + i, t) for i, t in enumerate(odd + ["a" * 9000, "ab" * 5000, "the<|endoftext|>end", " " * 3000, "I'm we've 's's ''s"])]
     path = public_tokenizers.path(token_count.TOKENIZER)
     library = Tokenizer.from_file(path)

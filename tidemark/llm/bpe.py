@@ -13,13 +13,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts
+from tidemark.llm.common import release, texts
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CHUNK_CHARS = 1 << 16
 # A letter or digit with a space after it: the pattern's match ends there whatever
 # follows or precedes, so the matches of both sides are those of the whole.
 _SAFE = re.compile(r"[^\W_](?= )")
+# The white space of the pattern's \s.
+_BLANK = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+LONG_BLANK = 1 << 14
+_LONG_BLANKS = re.compile(f"{_BLANK}{{{LONG_BLANK},}}")
 _LOADED: dict[tuple, object] = {}
 
 
@@ -50,11 +54,24 @@ def safe_chunks(text: str, size: int = CHUNK_CHARS):
     yield text[begin:] if begin else text
 
 
-def encode_text(enc, text: str) -> list[int]:
-    if len(text) <= CHUNK_CHARS:
+def encode_text(enc, text: str, blanks: re.Pattern = _LONG_BLANKS) -> list[int]:
+    """Ids of the whole text.  The pattern takes all of a run of white space but its last
+    character as one match (all of it at the end of a text).  The library's matcher needs
+    stack for each character of such a run and fails on a million, so a long one is found
+    here and merged as the one piece that it is."""
+    if len(text) < LONG_BLANK:
         return enc.encode_ordinary(text)
     ids: list[int] = []
-    for part in safe_chunks(text):
+    begin = 0
+    for run in blanks.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        if stop <= run.start():
+            continue
+        for part in safe_chunks(text[begin : run.start()]):
+            ids += enc.encode_ordinary(part)
+        ids += enc._encode_single_piece(text[run.start() : stop])
+        begin = stop
+    for part in safe_chunks(text[begin:] if begin else text):
         ids += enc.encode_ordinary(part)
     return ids
 
@@ -77,6 +94,7 @@ def _coder(path: str, pattern: str, digests: bool) -> Callable:
                         left.append(raw)
                 columns = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(left)]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(right)] * digests, names=["doc_id", "n_tokens"] + (["ids_sha256", "decoded_sha256"] if digests else ["ids"]))
+        release()
 
     return run
 
@@ -86,14 +104,18 @@ def encode(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.PATTERN
 
     One pass without a shuffle; each match of ``pattern`` is merged on its own and the
     strings of special tokens are ordinary text.  ``ranks`` is the path of the rank file
-    on every executor.  Null or empty text: no tokens.  Null or repeated doc_id: the row
+    on every executor.  A text is encoded whole, however long; long ones in parts that no
+    match spans.  Null or empty text: no tokens.  Null or repeated doc_id: the row
     is encoded like any other.  Empty table: no rows.  Other columns are not read.
     """
     return texts(docs, id_col, text_col).mapInArrow(_coder(ranks, pattern, False), "doc_id long, n_tokens long, ids binary")
 
 
 def decode(tokens: DataFrame, ranks: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id, bytes: the raw bytes that the ids of ``encode`` stand for (null ids: none)."""
+    """doc_id, bytes: the raw bytes that the ids of ``encode`` stand for.
+
+    Null or empty ids: no bytes.  Null or repeated doc_id: the row is decoded like any
+    other.  Empty table: no rows.  Other columns are not read."""
 
     def run(batches):
         enc = encoding(ranks, pattern)
@@ -107,10 +129,14 @@ def decode(tokens: DataFrame, ranks: str, pattern: str = public_tokenizers.PATTE
 
 def encode_decode_digests(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: ``encode``, then ``decode``, reduced to
-    digests in the same pass, so neither ids nor bytes leave the worker."""
+    digests in the same pass, so neither ids nor bytes leave the worker.
+
+    Null or empty text: 0 and the digests of nothing.  Very long text, null or repeated
+    doc_id, empty table and other columns: as for ``encode``."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return texts(docs, id_col, text_col).mapInArrow(_coder(ranks, pattern, True), schema)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``encode_decode_digests`` of all documents."""
     return encode_decode_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(RANKS))
