@@ -9,10 +9,10 @@ carries the change of the token count; the count of a string is the sum along it
 
 States and transitions are compiled when text first needs them, and as many are kept as
 a bound allows.  Pre-tokens reset the transducer, so each is a chunk with a constant map:
-a count, which is remembered by the chunk's hash (again up to a bound), and the counts of
+a count, which is remembered by the chunk's bytes (again up to a bound), and the counts of
 a text compose by a running (prefix) sum over the batch.  A longer pre-token is cut into
-chunks; the map of each is taken at the state that the bytes before it suggest, and taken
-again where composing the maps shows another.
+chunks, whose maps from entry states to exit states and counts are composed pair by pair,
+as a parallel prefix scan does.
 """
 
 from __future__ import annotations
@@ -26,17 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, span_hashes, texts
+from tidemark.llm.common import LONG_SPAN, release, slices, span_hashes, span_lanes, texts
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
 MAX_STATES = 100_000
-MAX_KNOWN = 1_500_000
+MAX_KNOWN = 500_000
 CHUNK_BYTES = 1024
 WARM_BYTES = 256
 _START = 0
 
 
+# The letters that byte-level vocabulary files write bytes with.
 def _byte_letters() -> dict[str, int]:
     """The printable letters that byte-level vocabularies write bytes with: bytes that
     print stand for themselves, the others follow from 256 on."""
@@ -76,8 +77,7 @@ class Transducer:
             self.token[node] = entry
         self.follows: dict[tuple, bool] = {}
         self.max_states = max_states
-        self.known = np.zeros(0, dtype=np.uint64)
-        self.known_counts = np.zeros(0, dtype=np.int64)
+        self.known: dict[bytes, int] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -148,37 +148,94 @@ class Transducer:
         return state, total
 
     def count_long(self, text: bytes) -> int:
-        """Tokens of one long pre-token: the maps of its chunks, composed."""
+        """Tokens of one long pre-token: the maps of its chunks, composed pair by pair.
+
+        A chunk's map is a partial function from entry states to (exit state, tokens
+        gained).  It is known at first at the state that the bytes before the chunk lead
+        to from the start; where a composition meets another state, the map is taken there
+        as well.  Composition is associative, so the levels of the tree are those of a
+        parallel prefix scan."""
         chunks = [text[i : i + CHUNK_BYTES] for i in range(0, len(text), CHUNK_BYTES)]
-        # The entry state of a chunk hangs on the bytes just before it, bar few cases.
         entry = [_START] + [self.run(c[-WARM_BYTES:])[0] for c in chunks[:-1]]
-        maps = [self.run(c, e) for c, e in zip(chunks, entry, strict=True)]
-        for i in range(1, len(chunks)):
-            if entry[i] != maps[i - 1][0]:
-                maps[i] = self.run(chunks[i], maps[i - 1][0])
-        return sum(gained for _, gained in maps)
+        level = [_Map(self, c, e) for c, e in zip(chunks, entry, strict=True)]
+        while len(level) > 1:
+            pairs = [_Composed(x, y) for x, y in zip(level[::2], level[1::2], strict=False)]
+            level = pairs + level[2 * len(pairs) :]
+        return level[0].at(_START)[1]
+
+    def _count(self, text: bytes) -> int:
+        n = self.count_long(text) if len(text) > 2 * CHUNK_BYTES else self.run(text)[1]
+        if len(self.states) > self.max_states:
+            self.clear()
+        return n
 
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Tokens of each pre-token; one whose map is remembered is not run again."""
-        hashes = span_hashes(data, starts, ends, fold=False)
-        distinct, first, each = np.unique(hashes, return_index=True, return_inverse=True)
-        out = np.zeros(len(distinct), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
-        have = self.known[at] == distinct if len(self.known) else np.zeros(len(distinct), dtype=bool)
-        out[have] = self.known_counts[at[have]]
-        fresh = np.flatnonzero(~have)
-        raw = data.tobytes() if len(fresh) else b""
-        for i, a, b in zip(fresh.tolist(), starts[first[fresh]].tolist(), ends[first[fresh]].tolist(), strict=True):
-            out[i] = self.count_long(raw[a:b]) if b - a > 2 * CHUNK_BYTES else self.run(raw[a:b])[1]
-            if len(self.states) > self.max_states:
-                self.clear()
-        if len(fresh):
-            if len(self.known) + len(fresh) > MAX_KNOWN:
-                self.known, self.known_counts = self.known[:0], self.known_counts[:0]
-            keys = np.concatenate([self.known, distinct[fresh]])
-            order = np.argsort(keys, kind="stable")
-            self.known, self.known_counts = keys[order], np.concatenate([self.known_counts, out[fresh]])[order]
-        return out[each]
+        """Tokens of each pre-token.  One of LONG_SPAN bytes or less whose count is
+        remembered, by its bytes, is not run again; longer ones always are.
+
+        Equal short pre-tokens are brought together by hash, and only where all their bytes
+        agree."""
+        sizes = ends - starts
+        out = np.zeros(len(starts), dtype=np.int64)
+        raw = data.tobytes()
+        alone = sizes > LONG_SPAN
+        short = np.flatnonzero(~alone)
+        if len(short):
+            begin, size = starts[short], sizes[short]
+            distinct, first, each = np.unique(span_hashes(data, begin, ends[short], fold=False), return_index=True, return_inverse=True)
+            padded = np.concatenate([data, np.zeros(LONG_SPAN, np.uint8)])
+            same = size == size[first][each]
+            for lane in range(LONG_SPAN // 8):
+                have = np.flatnonzero(same & (size > 8 * lane))
+                if not len(have):
+                    break
+                model = first[each[have]]
+                same[have] = span_lanes(padded, begin[have], size[have], lane) == span_lanes(padded, begin[model], size[model], lane)
+            alone[short[~same]] = True
+            found = np.zeros(len(distinct), dtype=np.int64)
+            known = self.known
+            for i, (a, n) in enumerate(zip(begin[first].tolist(), size[first].tolist(), strict=True)):
+                text = raw[a : a + n]
+                count = known.get(text)
+                if count is None:
+                    if len(known) >= MAX_KNOWN:
+                        known.clear()
+                    count = known[text] = self._count(text)
+                found[i] = count
+            out[short] = found[each]
+        for i in np.flatnonzero(alone).tolist():
+            out[i] = self._count(raw[int(starts[i]) : int(ends[i])])
+        return out
+
+
+class _Map:
+    """The map of one chunk, taken at the states where it is asked for."""
+
+    def __init__(self, machine: Transducer, chunk: bytes, entry: int):
+        self.machine, self.chunk, self.known = machine, chunk, {}
+        self.at(entry)
+
+    def at(self, state: int) -> tuple[int, int]:
+        if state not in self.known:
+            self.known[state] = self.machine.run(self.chunk, state)
+        return self.known[state]
+
+
+class _Composed:
+    """First the left map, then the right one."""
+
+    def __init__(self, left: _Map | _Composed, right: _Map | _Composed):
+        self.left, self.right = left, right
+        self.known = {}
+        for state in left.known:
+            self.at(state)
+
+    def at(self, state: int) -> tuple[int, int]:
+        if state not in self.known:
+            middle, gained = self.left.at(state)
+            end, more = self.right.at(middle)
+            self.known[state] = (end, gained + more)
+        return self.known[state]
 
 
 # --- pre-tokens ----------------------------------------------------------------------
@@ -283,6 +340,7 @@ def _counter(path: str, limit: int):
         for ids, nulls, offsets, data in slices(batches):
             n = count_batch(machine, data, offsets)
             yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        release()
 
     return run
 
@@ -293,7 +351,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     executor), without begin and end tokens; strings of added tokens inside a text are
     single tokens, the library's default.
 
-    One pass without a shuffle.  Null or empty text: no bytes, no tokens.  Null or
+    One pass without a shuffle.  A text is counted whole, however long.  Null or empty text: no bytes, no tokens.  Null or
     repeated doc_id: the row is counted like any other.  Empty table: no rows.  Other
     columns are not read.
     """
