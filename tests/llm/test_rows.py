@@ -140,7 +140,9 @@ def test_contamination(spark, monkeypatch, broadcast):
     rng = random.Random(1)
     pad = sentence(rng, 30)
     other = ITEM.replace("Anna", "Carla").replace("Boris", "Dimitri").replace("12", "40").replace("km", "miles")
-    broken = ITEM.replace("Anna has 12", "Carla has 40")  # the later slots don't follow
+    names = iter(("Carla", "Emil", "Fred"))
+    numbers = iter(("40", "41", "42", "43"))
+    broken = " ".join(next(names) if w in ("Anna", "Boris") else next(numbers) if w.isdigit() and w != "3" else w for w in ITEM.split())  # the later slots don't follow
     rows = [(1, f"{pad} {ITEM} {pad}"), (2, f"{pad} {other}"), (3, f"{pad} {broken} {pad}"), (4, pad), (5, None), (6, ""), (None, ITEM), (1, f"{pad} {ITEM} {pad}"), (7, "tiny item here now")]
     items = [(10, ITEM), (10, ITEM), (11, None), (12, "tiny item here now"), (None, pad)]
     got = decontaminate.contaminated_passages(awkward(spark, rows), spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, key int")).collect()
@@ -150,6 +152,55 @@ def test_contamination(spark, monkeypatch, broadcast):
     assert decontaminate.contaminated_passages(awkward(spark, rows), empty).count() == 0
 
 
+def test_contamination_of_short_and_recased_items(spark):
+    rng = random.Random(4)
+    pad = sentence(rng, 12)
+    short, long_name = "What is 12 + 30 - 7 ?", ITEM.replace("Boris", "Boris van Dyk")
+    edited = ITEM.replace("with Anna", "with Carla")  # one of two equal names
+    merged = ITEM.replace("Boris", "Anna")
+    rows = [(1, f"{pad} {short}"), (2, f"{pad} {ITEM.lower()} {pad}"), (3, f"{ITEM.upper()} {pad}"), (4, f"{pad} {long_name}"), (5, edited), (6, merged), (7, f"{pad} What is 13 + 30 - 7 ?"), (8, "12 13 14 15 16 17 18 19 20 21 22 23 " * 50)]
+    items = [(1, ITEM), (2, short), (3, "1 2 3 4 5 6 7 8 9 10 11 12")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated_passages(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 2), (2, 1), (3, 1), (4, 1), (5, 1), (6, 1)}
+
+
+def test_contamination_against_brute_force(spark):
+    """Items whole, cut, with other values, in one case, and unrelated texts: which documents
+    are found, against what was planted."""
+    rng = random.Random(31)
+    names = ["Anna", "Boris", "Carla", "Dimitri", "Emil", "Farah"]
+    items, rows, planted, value = [], [], set(), {}
+    for k in range(30):
+        words = sentence(rng, rng.randint(12, 40)).split()
+        for at in rng.sample(range(len(words)), len(words) // 5):
+            words[at] = rng.choice([*names, str(rng.randint(2, 99))])
+        items.append((k, " ".join(words)))
+    pads = lambda: sentence(rng, rng.randint(20, 60))
+    for i in range(300):
+        k = rng.randrange(30)
+        words = items[k][1].split()
+        value = {w: rng.choice([n for n in names if n != w]) if w in names else str(rng.randint(100, 999)) for w in set(words) if w in names or w.isdigit()}
+        how = i % 6
+        if how == 0:
+            body = words
+        elif how == 1:
+            body = [value.get(w, w) for w in words]
+        elif how == 2:
+            body = [w.lower() for w in words]
+        elif how == 3:
+            body = words[: max(len(words) * 3 // 4, 9)]
+        elif how == 4:
+            body = [w.upper() for w in words]
+        else:
+            body = []
+        if body:
+            planted.add((i, k))
+        rows.append((i, f"{pads()} {' '.join(body)} {pads()}"))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated_passages(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(planted & got) >= 0.97 * len(planted)
+    assert not {i for i, _ in got} & set(range(5, 300, 6))
+
+
 def test_contamination_finds_all_planted_items(spark):
     root = "/root/testdata/sf0.001"
     docs, items = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/benchmark.parquet")

@@ -1,15 +1,20 @@
 """Operator 6: benchmark decontamination by template windows.
 
 Numbers, names and units become typed placeholders; windows of such template words are
-hashed and joined with those of the benchmark.  Windows that match along one diagonal
-(the same shift between document and item) are put together, and the values that fill
-the placeholders must map from item to document one to one: then the passage is the
-item, word for word or with other parameters.
+hashed and joined with those of the benchmark.  A window with too few words that aren't
+placeholders says little, so its own words are hashed instead, in lower case.  Items are
+indexed as they stand and without their capitals, which copies in one case lack.
+
+Windows that match along one diagonal (the same shift between document and item), or along
+diagonals a few words apart, are put together.  Then either the words themselves agree, or
+the values that fill the placeholders must follow from the item's: the passage is the item,
+word for word or with other parameters.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
@@ -18,6 +23,9 @@ WINDOW = 8
 MIN_LITERALS = 4
 MIN_COVERAGE = 0.5
 MIN_WORDS = 25
+VERBATIM = 0.8  # of an item's words
+CONSISTENT = 0.8  # of the slots
+SLIP = 3  # words by which neighbouring diagonals of one passage may differ
 BROADCAST_ROWS = 500_000  # windows: three integers each
 BROADCAST_PASSAGES = 20_000  # passages: the words of an item each
 
@@ -49,19 +57,31 @@ def template_hash(word: Column) -> Column:
     hash of the word in lower case."""
     low = F.lower(word)
     return (
-        F.when(word.isin(*UNITS), UNIT)
-        .when(word.rlike(_NAME), F.when(low.isin(*NUMBER_WORDS), NUMBER).when(low.isin(*UNITS), UNIT).otherwise(NAME))
-        .when(word.rlike(_NUMBER) | word.isin(*NUMBER_WORDS), NUMBER)
+        F.when(low.isin(*UNITS), UNIT)
+        .when(low.isin(*NUMBER_WORDS), NUMBER)
+        .when(word.rlike(_NAME), NAME)
+        .when(word.rlike(_NUMBER), NUMBER)
         .otherwise(F.xxhash64(low))
         .cast("long")
     )
 
 
-def _window_keys(h: str, k: int) -> Column:
-    """Hash of each window of k template words, in order; none if there are fewer words."""
+def _literal_hash(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
+def _window_keys(h: str, plain: str, k: int, min_literals: int) -> Column:
+    """Key of each window of k words, in order; none if there are fewer words: the hash of
+    its template words, or of the words themselves if fewer than ``min_literals`` of them
+    are no slots."""
     at = F.sequence(F.lit(0), F.size(h) - k)
-    keys = F.transform(at, lambda i: F.xxhash64(*[F.get(F.col(h), i + j) for j in range(k)]))
-    return F.when(F.size(h) >= k, keys).otherwise(F.array().cast("array<long>"))
+
+    def key(i):
+        own, words = [F.get(F.col(h), i + j) for j in range(k)], [F.get(F.col(plain), i + j) for j in range(k)]
+        literals = sum((a == b).cast("int") for a, b in zip(own, words, strict=True))
+        return F.when(literals >= min_literals, F.xxhash64(*own)).otherwise(F.xxhash64(F.lit(k), *words))
+
+    return F.when(F.size(h) >= k, F.transform(at, key)).otherwise(F.array().cast("array<long>"))
 
 
 def _is_slot(value: Column) -> Column:
@@ -80,59 +100,77 @@ def contaminated_passages(
     documents that repeat a benchmark item.
 
     A passage is reported when matching windows on one diagonal (document position less
-    item position) cover ``min_coverage`` of the item's template words or ``min_words`` of
-    them, and its slots are consistent: every value in the item's slots stands for one
-    value in the document, and the other way round.  ``reparameterised`` is true if a
-    value differs.  An item shorter than ``window`` words is one window of its own
-    length; windows with fewer than ``min_literals`` words that aren't slots are not used.
+    item position), or on diagonals that differ by SLIP words at most, cover
+    ``min_coverage`` of the item's words or ``min_words`` of them, and
+
+    * VERBATIM of the item's words, or ``min_words``, are the same in the document, case
+      aside, or
+    * each value in the item's slots stands for one value in the document, in CONSISTENT of
+      the slots at least (so some may be edited).
+
+    ``reparameterised`` is true if a value differs.  An item shorter than ``window`` words
+    is one window of its own length.  A window with fewer than ``min_literals`` words (or
+    than it has) that aren't slots matches word for word only.
 
     The benchmark's windows are counted and broadcast up to BROADCAST_ROWS; beyond, the
     join is shuffled on the window hash.  The same holds for the passages found when they
-    return to their documents to compare slots.
+    return to their documents to compare words.
 
-    Null or empty texts and null item ids match nothing.  Null doc_id: its passages are
-    reported with a null doc_id.  Rows that occur again are each answered, repeated items
-    once.  An empty benchmark or table gives no rows.  Other columns are not read.
+    Null or empty texts and null item ids match nothing.  Very long texts are read whole.
+    Null doc_id: its passages are reported with a null doc_id.  Rows that occur again are
+    each answered, repeated items once.  An empty benchmark or table gives no rows.  Other
+    columns are not read.
     """
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text <> ''")
     # Equal rows share this key and get equal answers.
-    read = read.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("w", words(F.col("text")))
+    read = read.withColumn("row", F.xxhash64("doc_id", "text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null").distinct()
-    items = items.withColumn("iw", words(F.col("text"))).withColumn("ih", F.transform("iw", template_hash)).where(F.size("iw") > 0)
-    items = cut(items.select("item_id", F.xxhash64("item_id", "text").alias("item"), "iw", "ih"))
+    items = items.withColumn("iw", words(F.col("text"))).where(F.size("iw") > 0)
+    items = cut(items.select("item_id", F.xxhash64("item_id", "text").alias("item"), F.transform("iw", F.lower).alias("low"), F.transform("iw", template_hash).alias("ih"), F.transform("iw", _literal_hash).alias("il")))
+    folded = items.withColumn("ih", F.transform("low", template_hash))
     lengths = [r[0] for r in items.select(F.least(F.size("ih"), F.lit(window)).alias("k")).distinct().orderBy("k").collect()]  # at most ``window`` rows
-    hashed = read.withColumn("h", F.transform("w", template_hash)).select("row", "h")
+    hashed = read.withColumn("w", words(F.col("text"))).select("row", F.transform("w", template_hash).alias("h"), F.transform("w", _literal_hash).alias("l"))
     matched = None
     for k in lengths:
-        own = items.where(F.least(F.size("ih"), F.lit(window)) == k)
         need = min(min_literals, k)
-        own = own.select("item", "ih", F.size("ih").alias("n_item"), F.posexplode(_window_keys("ih", k)).alias("ipos", "key"))
-        literals = F.size(F.filter(F.slice("ih", F.col("ipos") + 1, F.lit(k)), lambda x: ~_is_slot(x)))
-        own = own.where(literals >= need).select("key", "item", "ipos", "n_item")
-        here = hashed.select("row", F.posexplode(_window_keys("h", k)).alias("pos", "key"))
+        own = items.unionByName(folded).where(F.least(F.size("ih"), F.lit(window)) == k)
+        own = own.select("item", F.size("ih").alias("n_item"), F.posexplode(_window_keys("ih", "il", k, need)).alias("ipos", "key")).distinct()
+        here = hashed.select("row", F.posexplode(_window_keys("h", "l", k, need)).alias("pos", "key"))
         hits = here.join(F.broadcast(own) if _small(own, BROADCAST_ROWS) else own, "key")
         hits = hits.select("row", "item", "n_item", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", F.lit(k).alias("k"))
         matched = hits if matched is None else matched.unionByName(hits)
     schema = "doc_id long, item_id long, first_word int, n_words int, coverage double, reparameterised boolean"
     if matched is None:
         return docs.sparkSession.createDataFrame([], schema)
-    # Equal rows count their windows together: hence the distinct positions.
-    runs = matched.groupBy("row", "item", "shift", "n_item", "k").agg(F.min("ipos").alias("low"), F.max("ipos").alias("high"), F.size(F.collect_set("ipos")).alias("n"))
-    runs = runs.withColumn("covered", F.least(F.col("n") + F.col("k") - 1, F.col("n_item")))
+    # Equal rows bring their windows together: hence the sets.
+    lines = matched.groupBy("row", "item", "shift", "n_item", "k").agg(F.collect_set("ipos").alias("at"))
+    beside = W.partitionBy("row", "item").orderBy("shift")
+    lines = lines.withColumn("new", (F.col("shift") - F.lag("shift").over(beside) > SLIP).cast("int")).withColumn("passage", F.sum(F.coalesce("new", F.lit(0))).over(beside))
+    # Places of the item that windows cover, each with the first diagonal that has it.
+    place = lambda p: F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: p + j)
+    covers = F.struct("shift", F.array_sort(F.array_distinct(F.flatten(F.transform("at", place)))).alias("p"))
+    runs = lines.groupBy("row", "item", "n_item", "passage").agg(F.array_sort(F.collect_list(covers)).alias("lines"))
+    runs = runs.withColumn("covered", F.size(F.array_distinct(F.flatten(F.col("lines.p")))))
     runs = runs.where((F.col("covered") >= F.lit(min_coverage) * F.col("n_item")) | (F.col("covered") >= min_words))
-    runs = cut(runs.join(items, "item"))
-    both = read.select("row", "doc_id", "w").join(F.broadcast(runs) if _small(runs, BROADCAST_PASSAGES) else runs, "row")
-    positions = F.sequence(F.col("low"), F.col("high") + F.col("k") - 1)
-    pair = lambda i: F.struct(F.get("ih", i).alias("kind"), F.lower(F.get("iw", i)).alias("i"), F.lower(F.get("w", i + F.col("shift"))).alias("d"))
-    slots = F.filter(positions, lambda i: _is_slot(F.get("ih", i)) & (F.get("ih", i) == template_hash(F.get("w", i + F.col("shift")))))
-    both = both.withColumn("pairs", F.array_distinct(F.transform(slots, pair)))
-    values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p[side]))))
-    both = both.where((F.size("pairs") == values("i")) & (F.size("pairs") == values("d")))
+    runs = cut(runs.join(items.select("item", "item_id", "low", "ih"), "item"))
+    both = read.join(F.broadcast(runs) if _small(runs, BROADCAST_PASSAGES) else runs, "row").withColumn("w", words(F.col("text")))
+    word = lambda p, d: F.struct(F.get("low", p).alias("i"), F.lower(F.get("w", p + d)).alias("d"), _is_slot(F.get("ih", p)).alias("slot"))
+    pairs = F.flatten(F.transform("lines", lambda x: F.transform(x["p"], lambda p: word(p, x["shift"]))))
+    both = both.withColumn("pairs", pairs).withColumn("slots", F.filter("pairs", lambda x: x["slot"]))
+    both = both.withColumn("values", F.array_distinct("slots")).withColumn("from", F.array_distinct(F.col("slots.i")))
+    times = lambda v: F.size(F.filter("slots", lambda x: x == v))
+    follow = F.aggregate("from", F.lit(0), lambda n, i: n + F.array_max(F.transform(F.filter("values", lambda v: v["i"] == i), times)))
+    # Diagonals side by side may bring a place twice: no more than the item has count.
+    same = F.least(F.size(F.filter("pairs", lambda x: x["i"] == x["d"])), F.col("covered"))
+    verbatim = (same >= F.lit(VERBATIM) * F.col("n_item")) | (same >= min_words)
+    both = both.where(verbatim | (follow >= F.lit(CONSISTENT) * F.size("slots")))
+    first = F.array_min(F.transform("lines", lambda x: F.array_min(x["p"]) + x["shift"]))
     return both.select(
-        "doc_id", "item_id", (F.col("low") + F.col("shift")).cast("int").alias("first_word"), F.col("covered").cast("int").alias("n_words"),
-        (F.col("covered") / F.col("n_item")).alias("coverage"), F.exists("pairs", lambda p: p["i"] != p["d"]).alias("reparameterised"),
+        "doc_id", "item_id", first.cast("int").alias("first_word"), F.col("covered").cast("int").alias("n_words"),
+        (F.col("covered") / F.col("n_item")).alias("coverage"), F.exists("pairs", lambda x: x["i"] != x["d"]).alias("reparameterised"),
     )
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``contaminated_passages`` of all documents and all items of the benchmark."""
     return contaminated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
