@@ -230,8 +230,18 @@ def test_embedding_join(spark, block):
     assert (null.n_links, null.component_id, null.kept) == (0, None, False)
 
 
-def test_embedding_join_of_too_many_lengths(spark, monkeypatch):
-    monkeypatch.setattr(embedding_join, "MAX_LENGTHS", 2)
-    df = spark.createDataFrame([(n, [1.0] * n) for n in (1, 2, 3)], "vec_id long, embedding array<double>")
-    with pytest.raises(ValueError, match="different lengths"):
-        near_duplicate_embeddings(df)
+def test_embedding_join_of_many_lengths_and_repeated_ids(spark, monkeypatch):
+    """More lengths than have pivots, each with a pair that links; ids that occur again."""
+    monkeypatch.setattr(embedding_join, "PIVOTED_LENGTHS", 2)
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in range(2, 60):
+        v = rng.normal(size=n)
+        rows += [(3 * n, v.tolist()), (3 * n + 1, (1.0001 * v + 1e-4).tolist()), (3 * n + 2, (-v).tolist())]
+    rows += [(5000, [1.0, 0.0]), (5000, [1.0, 0.0]), (5000, [0.0, 1.0])]
+    got = near_duplicate_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=2).collect()
+    assert len(got) == len(rows)
+    by_id = {r.vec_id: r for r in got}
+    for n in range(3, 60):
+        assert (by_id[3 * n].n_links, by_id[3 * n + 1].component_id, by_id[3 * n + 2].kept) == (1, 3 * n, True), n
+    assert sorted(r.n_links for r in got if r.vec_id == 5000)[-1] >= 1

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ from tidemark.llm.components import connected_components
 COSINE = 0.9
 BLOCK = 2048
 MAX_PIVOTS = 256
-MAX_LENGTHS = 1000
-_SLACK = 1e-5  # more than the rounding of a single-precision product of unit vectors
+PIVOTED_LENGTHS = 64  # lengths with most vectors; vectors of a further one share one cell
+BROADCAST_ROWS = 200_000  # cells: four integers each
 
 
 def _units(column: pa.Array, dim: int) -> np.ndarray:
@@ -34,42 +35,63 @@ def _units(column: pa.Array, dim: int) -> np.ndarray:
         return x / np.sqrt(np.square(x).sum(axis=1, keepdims=True))
 
 
-def _assign(pivots: np.ndarray, radii: np.ndarray | None, cosine: float):
-    """Without ``radii``: (cell, angle) of each vector.  With them: the vector once for
-    each cell that it must meet others in."""
-    dim = pivots.shape[1]
+def _slack(dim: int) -> float:
+    """More than the rounding of a single-precision product of unit vectors."""
+    return 1e-6 + dim * 2.0**-23
+
+
+def _assign(pivots: dict[int, np.ndarray], radii: dict[int, np.ndarray] | None, cosine: float):
+    """Without ``radii``: length, cell and angle of each vector.  With them: the vector once
+    for each cell that it must meet others in.  A length without pivots is one cell."""
     reach = np.arccos(cosine)
     chord = np.sqrt(2 - 2 * cosine)
-    gaps = np.sqrt(np.maximum(2 - 2 * np.clip(pivots @ pivots.T, -1, 1), 1e-18))
+    gaps = {dim: np.sqrt(np.maximum(2 - 2 * np.clip(p @ p.T, -1, 1), 1e-18)) for dim, p in pivots.items()}
+
+    def cells(v: pa.Array, dim: int):
+        """Rows and cells to send them to, each row's own cell, and its angle there."""
+        if dim not in pivots:
+            nothing = np.zeros(len(v), np.int64)
+            return np.arange(len(v)), nothing, nothing, np.zeros(len(v))
+        p = pivots[dim]
+        cos = np.clip(_units(v, dim) @ p.T, -1, 1)
+        home = cos.argmax(axis=1)
+        best = cos[np.arange(len(home)), home]
+        angle, own = np.arccos(cos), np.arccos(best)
+        if radii is None:
+            return np.arange(len(v)), home, home, own
+        meets = (angle <= radii[dim][None, :] + reach + 1e-9) & (angle - own[:, None] <= 2 * reach + 1e-9) & (best[:, None] - cos <= gaps[dim][home] * chord + 1e-9)
+        meets &= np.arange(len(p))[None, :] < home[:, None]
+        meets[np.arange(len(home)), home] = True
+        return *np.nonzero(meets), home, own
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 4096):
-                part = batch.slice(a, 4096)
-                cos = np.clip(_units(part.column("v"), dim) @ pivots.T, -1, 1)
-                home = cos.argmax(axis=1)
-                best = cos[np.arange(len(home)), home]
-                angle, own = np.arccos(cos), np.arccos(best)
-                if radii is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(own)], names=["cell", "angle"])
-                    continue
-                meets = (angle <= radii[None, :] + reach + 1e-9) & (angle - own[:, None] <= 2 * reach + 1e-9) & (best[:, None] - cos <= gaps[home] * chord + 1e-9)
-                meets &= np.arange(len(pivots))[None, :] < home[:, None]
-                meets[np.arange(len(home)), home] = True
-                row, cell = np.nonzero(meets)
-                take = pa.array(row)
-                replica = pa.array((cell != home[row]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), replica, part.column("vec_id").take(take), part.column("weight").take(take), part.column("v").take(take)], names=["cell", "replica", "vec_id", "weight", "v"])
+                whole = batch.slice(a, 4096)
+                lengths = np.asarray(pc.list_value_length(whole.column("v")))
+                for dim in np.unique(lengths).tolist():
+                    part = whole.filter(pa.array(lengths == dim))
+                    row, cell, home, own = cells(part.column("v"), dim)
+                    dims = pa.array(np.full(len(row), dim, np.int32))
+                    if radii is None:
+                        yield pa.RecordBatch.from_arrays([dims, pa.array(cell.astype(np.int32)), pa.array(own)], names=["dim", "cell", "angle"])
+                        continue
+                    take = pa.array(row)
+                    replica = pa.array((cell != home[row]).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [dims, pa.array(cell.astype(np.int32)), replica, part.column("vec_id").take(take), part.column("weight").take(take), part.column("v").take(take)],
+                        names=["dim", "cell", "replica", "vec_id", "weight", "v"],
+                    )
 
     return run
 
 
-def _join_block(dim: int, cosine: float):
+def _join_block(cosine: float):
     out_schema = pa.schema([("vec_id", pa.int64()), ("n", pa.int64()), ("other", pa.int64())])
 
     def run(key, table):
         table = table.combine_chunks()
-        i, j = key[1].as_py(), key[2].as_py()
+        dim, _, i, j = (k.as_py() for k in key)
         side = np.asarray(table["block"])
         ids, weights = np.asarray(table["vec_id"]), np.asarray(table["weight"])
         x = _units(table["v"].combine_chunks(), dim)
@@ -79,7 +101,7 @@ def _join_block(dim: int, cosine: float):
         single = x.astype(np.float32)
         for a in range(0, len(left), 1024):
             rows = left[a : a + 1024]
-            near = single[rows] @ single[right].T >= np.float32(cosine - _SLACK)
+            near = single[rows] @ single[right].T >= np.float32(cosine - _slack(dim))
             p, q = np.nonzero(near)
             p, q = rows[p], right[q]
             if i == j:
@@ -104,30 +126,32 @@ def _join_block(dim: int, cosine: float):
     return run
 
 
-def _range_join(reps: DataFrame, dim: int, cosine: float, block: int, max_pivots: int) -> DataFrame:
+def _range_join(reps: DataFrame, cosine: float, block: int, max_pivots: int) -> DataFrame:
     """(vec_id, n, other): links counted per block, and a vector each one is joined to."""
-    total = reps.count()
-    n_pivots = int(min(max_pivots, max(1, -(-total // block))))
-    picked = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).select("v").toArrow()
-    pivots = _units(picked["v"].combine_chunks(), dim)
-    cells = reps.mapInArrow(_assign(pivots, None, cosine), "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("radius")).collect()
-    radii = np.full(len(pivots), -np.inf)
-    for r in cells:
-        radii[r["cell"]] = r["radius"]
-    dealt = reps.mapInArrow(_assign(pivots, radii, cosine), "cell int, replica int, vec_id long, weight long, v array<double>")
-    counts = {(r["cell"], r["replica"]): r["n"] for r in dealt.groupBy("cell", "replica").agg(F.count(F.lit(1)).alias("n")).collect()}  # two for each pivot at most
-    homes = F.lit([max(1, -(-counts.get((c, 0), 0) // block)) for c in range(len(pivots))])
-    others = F.lit([-(-counts.get((c, 1), 0) // block) for c in range(len(pivots))])
-    dealt = dealt.withColumn("n_home", F.get(homes, F.col("cell"))).withColumn("n_other", F.get(others, F.col("cell")))
+    lengths = reps.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).orderBy(F.desc("n"), "dim").limit(PIVOTED_LENGTHS).collect()
+    pivots = {}
+    for r in lengths:
+        own = reps.where(F.size("v") == r["dim"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(int(min(max_pivots, -(-r["n"] // block))))
+        pivots[r["dim"]] = _units(own.select("v").toArrow()["v"].combine_chunks(), r["dim"])
+    radii = {dim: np.full(len(p), -np.inf) for dim, p in pivots.items()}
+    if pivots:
+        far = reps.where(F.size("v").isin(*pivots)).mapInArrow(_assign(pivots, None, cosine), "dim int, cell int, angle double").groupBy("dim", "cell").agg(F.max("angle").alias("radius"))
+        for r in far.collect():  # one row for each pivot at most
+            radii[r["dim"]][r["cell"]] = r["radius"]
+    dealt = reps.mapInArrow(_assign(pivots, radii, cosine), "dim int, cell int, replica int, vec_id long, weight long, v array<double>")
+    blocks = lambda replica: F.ceil(F.sum((F.col("replica") == replica).cast("int")) / F.lit(block)).cast("int")
+    counts = cut(dealt.groupBy("dim", "cell").agg(F.greatest(blocks(0), F.lit(1)).alias("n_home"), blocks(1).alias("n_other")))
+    small = counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    dealt = dealt.join(F.broadcast(counts) if small else counts, ["dim", "cell"])
     spread = F.pmod(F.xxhash64("vec_id"), F.when(F.col("replica") == 0, F.col("n_home")).otherwise(F.col("n_other"))).cast("int")
     dealt = dealt.withColumn("block", F.when(F.col("replica") == 0, spread).otherwise(F.col("n_home") + spread).cast("int"))
     # Blocks 0..n_home-1 hold the cell's own vectors, the rest replicas; (i, j) with i <= j
     # and i of the cell's own meet.
     own = F.transform(F.sequence(F.lit(0), F.col("n_home") + F.col("n_other") - 1), lambda j: F.struct(F.least(F.col("block"), j.cast("int")).alias("i"), F.greatest(F.col("block"), j.cast("int")).alias("j")))
     replica = F.transform(F.sequence(F.lit(0), F.col("n_home") - 1), lambda i: F.struct(i.cast("int").alias("i"), F.col("block").alias("j")))
-    tasks = dealt.select("cell", "block", "vec_id", "weight", "v", F.explode(F.when(F.col("replica") == 0, own).otherwise(replica)).alias("task"))
-    tasks = tasks.select("cell", "task.i", "task.j", "block", "vec_id", "weight", "v")
-    return tasks.groupBy("cell", "i", "j").applyInArrow(_join_block(dim, cosine), "vec_id long, n long, other long")
+    tasks = dealt.select("dim", "cell", "block", "vec_id", "weight", "v", F.explode(F.when(F.col("replica") == 0, own).otherwise(replica)).alias("task"))
+    tasks = tasks.select("dim", "cell", "task.i", "task.j", "block", "vec_id", "weight", "v")
+    return tasks.groupBy("dim", "cell", "i", "j").applyInArrow(_join_block(cosine), "vec_id long, n long, other long")
 
 
 def near_duplicate_embeddings(
@@ -144,8 +168,8 @@ def near_duplicate_embeddings(
     the driver holds; cells may grow beyond ``block``, blocks don't.
 
     A vector that is null, empty, zero or holds null, NaN or an infinity links with
-    nothing, nor do vectors of different length; more than MAX_LENGTHS different lengths
-    are an error, since each is a join of its own.  Null vec_id: n_links 0, component_id
+    nothing, nor do vectors of different length, which are joined side by side in one plan.
+    Vectors may be of any length.  Null vec_id: n_links 0, component_id
     null, kept false.  A vec_id that occurs again: its rows are vectors of their own (equal
     ones link) that share their number.  Empty table: no rows.  Other columns are not read.
     """
@@ -157,16 +181,7 @@ def near_duplicate_embeddings(
     read = read.withColumn("h", F.when(F.coalesce(fine, F.lit(False)), F.struct(F.xxhash64(same).alias("a"), F.xxhash64(F.lit(1), same).alias("b"))))
     reps = read.where("h is not null").groupBy("h").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight"), F.any_value("v").alias("v"))
     reps = cut(reps)
-    found = None
-    dims = sorted(r[0] for r in reps.select(F.size("v")).distinct().limit(MAX_LENGTHS + 1).collect())
-    if len(dims) > MAX_LENGTHS:
-        raise ValueError(f"vectors of more than {MAX_LENGTHS} different lengths")
-    for dim in dims:
-        part = _range_join(reps.where(F.size("v") == dim).select("vec_id", "weight", "v"), dim, cosine, block, max_pivots)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = reps.select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("other"))
-    found = cut(found)
+    found = cut(_range_join(reps.select("vec_id", "weight", "v"), cosine, block, max_pivots))
     sums = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
     labels = connected_components(found.select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
     classes = reps.select("h", F.col("vec_id").alias("rep"), "weight")
@@ -178,4 +193,5 @@ def near_duplicate_embeddings(
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_duplicate_embeddings`` of all embeddings."""
     return near_duplicate_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
