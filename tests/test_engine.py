@@ -2,7 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.engine import Engine
-from tidemark.errors import BindError, CatalogError, ConflictError, ConsistencyError, NotFoundError, ParseError
+from tidemark.adaptive.feedback import FeedbackLog
+from tidemark.errors import BindError, CatalogError, ConflictError, ConsistencyError, HorizonError, NotFoundError, ParseError, PoisonedError
+from tidemark.sources.retention import Retention
+from tidemark.streaming.feed import ChangeFeed
 
 
 @pytest.fixture
@@ -181,13 +184,170 @@ def test_indexes(engine):
     expected = sorted(f"o{i}" for i in range(-20, 30) if i % 7 == 3)
     assert [r[0] for r in rows(engine.sql(covering))] == expected
     assert engine.verify() == []
+    built = engine.head
     engine.sql("UPDATE account SET balance = 3 WHERE id = 0")
-    assert "covering index" not in "\n".join(r[0] for r in engine.sql("EXPLAIN " + covering).collect())
-    assert len(rows(engine.sql(covering))) == len(expected) + 1
-    engine.refresh_index("b")
+    engine.sql("DELETE FROM account WHERE id = 3")
+    engine.sql("INSERT INTO account VALUES (100, 3, 'new', 'n')")
+    now = sorted([o for o in expected if o != "o3"] + ["o0", "new"])
     assert "covering index b" in "\n".join(r[0] for r in engine.sql("EXPLAIN ANALYZE " + covering).collect())
-    assert len(rows(engine.sql(covering))) == len(expected) + 1
+    assert [r[0] for r in rows(engine.sql(covering))] == now and engine.verify() == []
+    engine.refresh_index("b")
+    engine.sql("ALTER TABLE account RENAME COLUMN owner TO holder")
+    engine.sql("DELETE FROM account WHERE id = 100")
+    renamed = covering.replace("owner", "holder")
+    assert "covering index b" in "\n".join(r[0] for r in engine.sql("EXPLAIN " + renamed).collect())
+    assert [r[0] for r in rows(engine.sql(renamed))] == [o for o in now if o != "new"] and engine.verify() == []
+    # Snapshots since the index was made are served by the copy before them.
+    for version, owners in ((built, expected), (built + 1, sorted([*expected, "o0"])), (built + 3, now)):
+        text = renamed.replace("account", f"account AS OF VERSION {version}")
+        assert "covering index b" in "\n".join(r[0] for r in engine.sql("EXPLAIN " + text).collect())
+        assert [r[0] for r in rows(engine.sql(text))] == owners
+    old = "\n".join(r[0] for r in engine.sql(f"EXPLAIN SELECT holder FROM account AS OF VERSION {built - 2} WHERE balance = 3").collect())
+    assert "covering index" not in old
     assert engine.sql("SHOW INDEXES ON account").count() == 1
+    again = Engine(engine.spark, str(engine.store.root))
+    assert rows(again.sql(renamed)) == rows(engine.sql(renamed))
+
+
+def test_row_fetch_and_composite_prefixes(engine):
+    engine.sql("CREATE TABLE t (id BIGINT PRIMARY KEY, a BIGINT, b BIGINT, c STRING)")
+    engine.commit_many("t", engine.spark.range(2000).select("id", (F.col("id") % 50).alias("a"), (F.col("id") % 50 * 3).alias("b"), F.lit("x").alias("c")))
+    engine.store.compact(engine.catalog.table("t"))
+    engine.sql("CREATE INDEX ab ON t (a, b)")
+    engine.sql("ANALYZE t")
+    assert 45 <= engine.statistics["t"].prefixes["a", "b"] <= 55
+    text = "SELECT id, c FROM t WHERE a = 7 AND b = 21 AND id < 200"
+    lines = "\n".join(r[0] for r in engine.sql("EXPLAIN ANALYZE " + text).collect())
+    assert "index ab and row fetch of keys 7 to 1957" in lines
+    assert sorted(rows(engine.sql(text))) == [(i, "x") for i in range(7, 200, 50)]
+    assert rows(engine.sql("SELECT id, c FROM t WHERE a = 7 AND b = 22")) == []
+
+
+def test_vacuum_names_its_horizon(engine):
+    engine.sql("CREATE TABLE t (id BIGINT PRIMARY KEY, v BIGINT)")
+    for k in range(6):
+        load(engine, "t", [{"id": k % 3, "v": k}])
+    t = engine.catalog.table("t")
+    engine.store.compact(t, 5)
+    before = {v: sorted(rows(engine.sql(f"SELECT id, v FROM t AS OF VERSION {v}"))) for v in range(5, 8)}
+    assert engine.vacuum(5) == [2, 3, 4, 5]
+    for e in (engine, Engine(engine.spark, str(engine.store.root))):
+        assert {v: sorted(rows(e.sql(f"SELECT id, v FROM t AS OF VERSION {v}"))) for v in range(5, 8)} == before
+        for read in (lambda: e.sql("SELECT id FROM t AS OF VERSION 4"), lambda: e.changes("t", 3), lambda: e.feed(0)):
+            with pytest.raises(HorizonError, match="commit 5"):
+                read()
+        assert [r.commit_seq for r in e.changes("t", 5).collect()] == [6, 7]
+        assert sorted((r.pk, r.begin_ts, r.end_ts) for r in e.history("t").collect()) == [(0, 5, None), (1, 3, 6), (1, 6, None), (2, 4, 7), (2, 7, None)]
+
+
+def test_retention_prunes_what_consumers_have_passed(engine):
+    engine.sql("CREATE TABLE t (id BIGINT PRIMARY KEY)")
+    for k in range(5):
+        load(engine, "t", [{"id": k}])
+    assert engine.retain() == []  # nobody has read anything
+    engine.projections.commit_offset("reader", 3)
+    assert engine.retain() == [2, 3] and engine.retain() == []
+    engine.projections.register("slow", "t")
+    assert engine.retain(Retention(max_lag=1)) == [4]
+    assert engine.projections.get("slow").state == "NeedsRebuild"
+    assert sorted(rows(engine.sql("SELECT id FROM t"))) == [(k,) for k in range(5)]
+    size = engine.store.commits[-1].entities["1"]["bytes"]
+    assert size > 0 and engine.retain(Retention(max_bytes=size)) == [5]
+
+
+def test_ambiguous_failures_poison_writes(engine, monkeypatch):
+    engine.sql("CREATE TABLE t (id BIGINT PRIMARY KEY)")
+    real = engine.store.manifests.put_if_absent
+
+    def put(name, text):
+        real(name, text)
+        raise OSError("the answer was lost")
+
+    monkeypatch.setattr(engine.store.manifests, "put_if_absent", put)
+    with pytest.raises(PoisonedError, match="may or may not"):
+        engine.sql("INSERT INTO t VALUES (1)")
+    monkeypatch.undo()
+    for text in ("INSERT INTO t VALUES (2)", "CREATE TABLE u (id BIGINT PRIMARY KEY)"):
+        with pytest.raises(PoisonedError):
+            engine.sql(text)
+    assert engine.sql("SELECT id FROM t").count() == 0  # reads go on
+    engine.store.recover()
+    engine.sql("INSERT INTO t VALUES (2)")
+    assert sorted(rows(engine.sql("SELECT id FROM t"))) == [(1,), (2,)]
+
+
+def test_imported_nan_is_an_error(engine, spark, tmp_path):
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame([(1, 1.0), (2, float("nan"))], "id long, d double").write.parquet(path)
+    engine.import_parquet("d", path, "id")
+    for text in ("SELECT id FROM d WHERE d > 0.5", "SELECT MAX(d) FROM d"):
+        with pytest.raises(Exception, match="NaN"):
+            engine.sql(text).collect()
+    engine.import_parquet("clean", path, "id", may_hold_nan=False)
+    assert engine.sql("SELECT id FROM clean WHERE d < 5.0").count() == 1
+
+
+def test_feed_has_schema_changes_ahead_and_pages_by_bytes(engine):
+    engine.sql("CREATE TABLE t (id BIGINT PRIMARY KEY)")
+    load(engine, "t", [{"id": 1}])
+    engine.sql("ALTER TABLE t ADD COLUMN v STRING DEFAULT 'd'")
+    load(engine, "t", [{"id": 2}])
+    engine.sql("CREATE INDEX i ON t (v)")
+    assert [(r.commit_seq, r.kind, r.pk) for r in engine.feed().collect()] == [(1, "schema", None), (2, "insert", 1), (3, "schema", None), (4, "insert", 2)]
+    assert [r.commit_seq for r in engine.feed(0, 2).collect()] == [1, 2]
+    size = engine.store.commits[1].entities["1"]["bytes"]
+    seen, cursor = [], 0
+    while cursor < engine.head:
+        step = engine.next_cursor("t", cursor, max_bytes=size)
+        seen.append([r.pk for r in engine.changes("t", cursor, max_bytes=size).collect()])
+        cursor = step
+    assert [p for p in seen if p] == [[1], [2]]
+    engine.spark.dataSource.register(ChangeFeed)
+    stream = engine.spark.read.format("tidemark_changes").option("root", str(engine.store.root)).option("entity", "1").option("catalog", "true").load()
+    assert sorted((r.commit_seq, r.kind) for r in stream.collect()) == [(1, "schema"), (2, "insert"), (3, "schema"), (4, "insert")]
+
+
+def test_replayed_history(engine, spark):
+    engine.sql("CREATE TABLE t (id BIGINT PRIMARY KEY, at BIGINT, v STRING DEFAULT 'd')")
+    log = spark.createDataFrame([(1, 10), (1, 30), (2, 20), (1, 20)], "id long, at long")
+    assert engine.replay("t", log, "at") == [2, 3, 4]
+    assert sorted(rows(engine.sql("SELECT id, at, v FROM t"))) == [(1, 30, "d"), (2, 20, "d")]
+    assert rows(engine.sql("SELECT at FROM t AS OF VERSION 3 WHERE id = 1")) == [(20,)]
+    engine.delete("t", 1)
+    assert [(r.kind, r.before and r.before.f2) for r in engine.changes("t").where("pk = 1").orderBy("commit_seq").collect()] == [("insert", None), ("update", 10), ("update", 20), ("delete", 30)]
+    with pytest.raises(ConflictError):
+        engine.replay("t", log, "at")
+
+
+def test_feedback_is_rotated(tmp_path):
+    log = FeedbackLog(tmp_path, max_bytes=100, max_files=3)
+    for k in range(40):
+        log.write({"k": k})
+    kept = [e["k"] for e in log.entries()]
+    assert kept == list(range(kept[0], 40)) and len(list(tmp_path.iterdir())) == 3
+
+
+def test_cancel_ends_a_running_query(engine, spark):
+    import threading
+
+    engine.sql("CREATE TABLE t (id BIGINT PRIMARY KEY)")
+    load(engine, "t", [{"id": k} for k in range(3000)])
+    failed = []
+
+    def run():
+        try:
+            engine.run_cancellable("SELECT COUNT(*) FROM t a CROSS JOIN t b CROSS JOIN t c WHERE a.id < b.id AND b.id < c.id", "group")
+        except Exception as e:
+            failed.append(str(e))
+
+    worker = threading.Thread(target=run)
+    worker.start()
+    for _ in range(60):
+        worker.join(1)
+        engine.cancel("group")
+        if not worker.is_alive():
+            break
+    assert failed and "cancel" in failed[0].lower()
 
 
 def test_session_consistency(engine):

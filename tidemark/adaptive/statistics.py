@@ -10,16 +10,17 @@ from tidemark.plans.estimator import Bucket, ColumnStatistics, TableStatistics
 SAMPLE_ROWS, MAX_BUCKETS, MAX_COMMON, COMMON_FACTOR, DISTINCT_ERROR = 30_000, 64, 32, 1.25, 0.016
 
 
-def basic_statistics(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+def basic_statistics(df: DataFrame, columns: dict[str, str], prefixes: list[tuple[str, ...]] = ()) -> DataFrame:
     """One row per column (name, rows, nulls, low, high, distinct): one pass, partially
     aggregated; distinct counts are HyperLogLog++ sketches, so nothing is shuffled but a
-    row of each partition."""
+    row of each partition.  ``prefixes`` are columns counted together (p_0, p_1, ...)."""
     aggregates = [F.count(F.lit(1)).alias("rows")]
     for c, kind in columns.items():
         value = F.col(f"`{c}`")
         ordered = F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value) if kind == "DOUBLE" else value
         aggregates += [F.count(value).alias(f"n_{c}"), F.min(ordered).alias(f"lo_{c}"), F.max(ordered).alias(f"hi_{c}"), F.approx_count_distinct(value, DISTINCT_ERROR).alias(f"d_{c}")]
         aggregates.append((F.count_if(F.isnan(value)) if kind == "DOUBLE" else F.lit(0)).alias(f"x_{c}"))
+    aggregates += [F.approx_count_distinct(F.struct(*[f"`{c}`" for c in p]), DISTINCT_ERROR).alias(f"p_{k}") for k, p in enumerate(prefixes)]
     return df.agg(*aggregates)
 
 
@@ -55,10 +56,10 @@ def histogram(ordered: list, scale: float) -> list[Bucket]:
     return out
 
 
-def analyze_table(df: DataFrame, columns: dict[str, str], primary_key: str | None) -> TableStatistics:
+def analyze_table(df: DataFrame, columns: dict[str, str], primary_key: str | None, prefixes: list[tuple[str, ...]] = ()) -> TableStatistics:
     """Two passes over the columns: exact counts and extremes, then a bounded sample (some
     30,000 rows, which the driver sorts)."""
-    head = basic_statistics(df, columns).first()
+    head = basic_statistics(df, columns, prefixes).first()
     rows = head["rows"]
     sample = column_sample(df, columns, primary_key, rows).toArrow() if rows else None
     out = {}
@@ -72,4 +73,4 @@ def analyze_table(df: DataFrame, columns: dict[str, str], primary_key: str | Non
                 scale = s.present / len(values)
                 s.common, s.buckets = common_values(values, scale), histogram(sorted(values), scale)
         out[c] = s
-    return TableStatistics(rows, out)
+    return TableStatistics(rows, out, prefixes={p: head[f"p_{k}"] for k, p in enumerate(prefixes)})

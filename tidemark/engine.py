@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import shutil
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import types
 from tidemark.adaptive.advisor import Advisor
 from tidemark.adaptive.actuator import Controller
 from tidemark.adaptive.consistency import ReadContext, decide
+from tidemark.adaptive.feedback import FeedbackLog
 from tidemark.adaptive.plan_cache import PlanCache, statement_key
 from tidemark.adaptive.statistics import analyze_table
 from tidemark.adaptive.telemetry import QueryEvent, Telemetry, query_shape
@@ -23,6 +25,7 @@ from tidemark.plans.estimator import TableStatistics, q_error
 from tidemark.plans.parser import parse
 from tidemark.plans.planner import Plan, Planner
 from tidemark.sources.catalog import Catalog, TableSchema, check_value
+from tidemark.sources.retention import Retention, Segment, prunable
 from tidemark.sources.store import Commit, Store, adapted
 from tidemark.streaming.projections import ProjectionRegistry
 
@@ -61,19 +64,39 @@ class Table:
 
 
 class IndexProjection:
-    """A sorted parquet copy of a table's key, included and primary-key columns."""
+    """Sorted parquet copies of a table's key, included and primary-key columns.  The change
+    log keeps them up to date: a read takes the newest copy at or before its commit and the
+    changes since, so writes never wait for an index and snapshots are served as well."""
 
     def __init__(self, engine: Engine, schema):
         self.engine, self.schema = engine, schema
         self.name, self.keys, self.include = schema.name, schema.keys, schema.include
 
     def serves(self, as_of: int | None, head: int) -> bool:
-        """Whether the copy answers a read: it holds exactly the rows of its watermark."""
+        """Whether a copy and the log answer a read, and the changes to bring in are few
+        beside the table."""
         at = head if as_of is None else as_of
-        return self.schema.usable_from <= at and self.engine.unchanged(self.schema.table, self.schema.watermark, at)
+        copy = self.schema.copy_for(at)
+        if copy is None:
+            return False
+        t = self.engine.catalog.table(self.schema.table)
+        since = self.engine.store.commits_of(t, copy, at)
+        if since and since[0].seq <= self.engine.store.horizon(t):
+            return False
+        rows = sum(c.entities[str(t.entity)]["rows"] for c in self.engine.store.commits_of(t, 0, copy))
+        return self.changes(as_of) <= max(MAX_DELTA_ROWS, MAX_DELTA_SHARE * rows)
+
+    def changes(self, as_of: int | None) -> int:
+        """Row changes between the copy that a read takes and its commit."""
+        at = self.engine.head if as_of is None else as_of
+        t = self.engine.catalog.table(self.schema.table)
+        return sum(c.entities[str(t.entity)]["rows"] for c in self.engine.store.commits_of(t, self.schema.copy_for(at), at))
 
     def read(self, as_of: int | None) -> DataFrame:
-        return self.engine.spark.read.parquet(self.engine.index_path(self.schema))
+        return self.engine.read_index(self.schema, as_of)
+
+
+MAX_DELTA_ROWS, MAX_DELTA_SHARE = 100_000, 0.2
 
 
 @dataclass
@@ -145,6 +168,7 @@ class Engine:
         self.controller = Controller(self, clock)
         self.advisor_on, self.adaptive = True, "off"
         self.feedback: list[dict] = []
+        self.feedback_log = FeedbackLog(self.store.root / "feedback")
         self._session = Session(self)
 
     # --- tables
@@ -155,10 +179,10 @@ class Engine:
     def session(self) -> Session:
         return Session(self)
 
-    def import_parquet(self, name: str, path: str, primary_key: str | None = None, references: dict | None = None, may_hold_nan: bool = False) -> None:
+    def import_parquet(self, name: str, path: str, primary_key: str | None = None, references: dict | None = None, may_hold_nan: bool = True) -> None:
         """A read-only table over parquet files: integers widen to BIGINT, floats to DOUBLE;
-        ``may_hold_nan`` says whether its DOUBLEs need the guard against NaN, which keeps
-        comparisons from being pushed into the scan."""
+        ``may_hold_nan=False`` promises that its DOUBLEs hold none and leaves out the guard
+        against NaN, which keeps comparisons from being pushed into the scan."""
         df = self.spark.read.parquet(path)
         columns = [Column(f.name, types.of_spark(f.dataType), may_hold_nan and types.of_spark(f.dataType) == "DOUBLE") for f in df.schema]
         wide = [F.col(f"`{c.name}`").cast(types.SPARK[c.type]).alias(c.name) if c.type in ("BIGINT", "DOUBLE") and df.schema[c.name].dataType != types.SPARK[c.type] else F.col(f"`{c.name}`") for c in columns]
@@ -184,11 +208,6 @@ class Engine:
         s = self.statistics.get(table.lower())
         return s is None or s.modified > 0 or column not in s.columns or s.columns[column].nan > 0
 
-    def unchanged(self, table: str, since: int, upto: int) -> bool:
-        entity = str(self.catalog.table(table).entity)
-        low, high = min(since, upto), max(since, upto)
-        return not any(entity in c.entities and low < c.seq <= high for c in self.store.commits)
-
     # --- SQL
     def sql(self, text: str) -> DataFrame:
         return self._session.sql(text)
@@ -213,10 +232,9 @@ class Engine:
         def allow(table, index) -> bool:
             if tree.as_of is not None:
                 return True
+            # The log brings a copy to the head, so an index never lags.
             context = ReadContext(session.consistency, self.head, session.token, session.max_wait_ms)
-            watermark = self.head if self.unchanged(table.name, index.schema.watermark, self.head) else index.schema.watermark
-            answer = decide(context, "Ready", watermark, None, True)
-            return answer.kind in ("direct", "stale")
+            return decide(context, "Ready", self.head, None, True).kind == "direct"
 
         return Planner(session.optimizer, allow, observe).plan(bound)
 
@@ -238,6 +256,9 @@ class Engine:
         error = q_error(plan.estimates["result"], len(rows))
         self.telemetry.offer(QueryEvent(shape, spent, sum(read.values()), len(rows), error, bool(plan.indexes)))
         self.feedback.append({"shape": shape.id, "estimated": plan.estimates["result"], "actual": len(rows), "q": error})
+        for alias, observed in plan.observed.items():
+            actual = observed.get["rows"]
+            self.feedback_log.write({"at_ms": int(self.clock() * 1000), "shape": shape.id, "operator": alias, "estimated": plan.estimates[alias], "actual": actual, "q": q_error(plan.estimates[alias], actual), "indexes": plan.indexes})
         return rows
 
     def _report(self, rows: list[tuple], schema: str) -> DataFrame:
@@ -283,6 +304,7 @@ class Engine:
 
     # --- definitions
     def _define(self, tree) -> int:
+        self.store.check_writable()
         before = self.catalog.to_json()
         try:
             kind, note = "schema", ""
@@ -310,12 +332,23 @@ class Engine:
             raise
         return self.head
 
-    def index_path(self, schema) -> str:
-        return str(self.store.root / "index" / schema.name.lower() / f"c{schema.watermark:012d}")
+    def index_path(self, schema, copy: int) -> str:
+        return str(self.store.root / "index" / schema.name.lower() / f"c{copy:012d}")
+
+    def _index_fields(self, schema) -> list:
+        t = self.catalog.table(schema.table)
+        return [t.find(c) for c in dict.fromkeys([c for c, _ in schema.keys] + schema.include + [t.primary_key])]
+
+    def read_index(self, schema, as_of: int | None = None) -> DataFrame:
+        """Keys, included columns and primary keys of all rows at a commit."""
+        t, fields = self.catalog.table(schema.table), self._index_fields(schema)
+        at = self.head if as_of is None else as_of
+        copy = schema.copy_for(at)
+        return adapted(self.store.read_copy(t, self.index_path(schema, copy), copy, at, fields), t, fields=fields)
 
     def create_index(self, name: str, table: str, keys, include=()) -> int:
         """Writes the projection at the head, range-partitioned and sorted by its keys, and
-        registers it; usable from that commit on, until the table changes."""
+        registers it; it serves the snapshots from that commit on."""
         schema = self.catalog.create_index(name, table, list(keys), list(include), self.head)
         try:
             self._write_index(schema)
@@ -326,16 +359,15 @@ class Engine:
 
     def _write_index(self, schema) -> None:
         t = self.catalog.table(schema.table)
-        columns = list(dict.fromkeys([c for c, _ in schema.keys] + schema.include + [t.primary_key]))
-        rows = adapted(self.store.rows(t), t).select(*columns)
-        keys = [F.col(c).desc_nulls_first() if d else F.col(c).asc_nulls_last() for c, d in schema.keys]
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(self.index_path(schema))
+        self.store.write_copy(t, self.index_path(schema, schema.watermark), schema.watermark, self._index_fields(schema), [(t.find(c).id, d) for c, d in schema.keys])
 
     def refresh_index(self, name: str) -> None:
-        """Brings an index up to the head."""
+        """Adds a copy at the head, from which later reads need fewer changes; older copies
+        go on serving older snapshots."""
         schema = self.catalog.indexes[name.lower()]
-        schema.usable_from = schema.watermark = self.head
+        if schema.watermark == self.head:
+            return
+        schema.copies.append(self.head)
         self._write_index(schema)
         self.store.publish(Commit(self.head + 1, self.head + 1, self.catalog.epoch, "index", {}, self.catalog.to_json(), f"refresh {name}"))
 
@@ -393,6 +425,7 @@ class Engine:
 
     def _commit_rows(self, writes: dict, snapshot: int) -> tuple[int, int]:
         began = time.perf_counter()
+        self.store.check_writable()
         seq = self.head + 1
         by_table: dict[str, list] = {}
         for (name, key), row in writes.items():
@@ -438,18 +471,54 @@ class Engine:
             out[f"f{f.id}"] = value
         return out
 
+    @staticmethod
+    def _image_columns(t: TableSchema, rows: DataFrame) -> list:
+        """Columns of the full image at the current version, from a DataFrame with the
+        table's columns; those left out take their defaults."""
+        have = {c.lower(): c for c in rows.columns}
+        image = []
+        for f in t.active:
+            kind = types.SPARK[f.type]
+            value = (F.col(have[f.name.lower()]) if f.name.lower() in have else F.lit(f.default)).cast(kind)
+            if f.not_null:
+                value = F.when(value.isNull(), F.raise_error(F.lit(f"{f.name} can't be NULL")).cast(kind)).otherwise(value)
+            image.append(value.alias(f"f{f.id}"))
+        return image
+
+    def replay(self, table: str, log: DataFrame, order: str) -> list[int]:
+        """Loads a history into an empty table: the rows of ``log`` are versions of their
+        keys in the order of ``order``, and the k-th version of every key goes into the k-th
+        commit from here.  One job writes all of them; returns the commits."""
+        t = self.catalog.table(table)
+        self.store.check_writable()
+        if self.store.commits_of(t):
+            raise ConflictError(f"{t.name} has a history already")
+        pk = next(f for f in t.active if f.name == t.primary_key)
+        images = log.select(F.struct(*self._image_columns(t, log)).alias("after"), F.col(order).alias("at"))
+        within = Window.partitionBy("pk").orderBy("at")
+        images = images.withColumn("pk", F.col(f"after.f{pk.id}"))
+        rows = images.select("pk", "after", F.row_number().over(within).alias("n"), F.lag("after").over(within).alias("before"))
+        seq = (F.col("n") + self.head).cast("long")
+        kind = F.when(F.col("n") == 1, "insert").otherwise("update")
+        rows = rows.select(seq.alias("commit"), seq.alias("commit_seq"), seq.alias("commit_ts"), "pk", kind.alias("kind"), F.lit(t.version).cast("long").alias("schema_version"), "before", "after")
+        staged = self.store.log_path(t.entity, 0).with_name(f"replay-{time.time_ns()}")
+        rows.repartition("commit").write.partitionBy("commit").parquet(str(staged))
+        counts = {r["commit"]: r["n"] for r in self.spark.read.parquet(str(staged)).groupBy("commit").agg(F.count(F.lit(1)).alias("n")).collect()}
+        done = []
+        try:
+            for seq in sorted(counts):
+                (staged / f"commit={seq}").rename(self.store.log_path(t.entity, seq))
+                done.append(self.store.publish(Commit(seq, seq, self.catalog.epoch, "data", {str(t.entity): {"rows": counts[seq], "keys": None}})).seq)
+        finally:
+            shutil.rmtree(staged, ignore_errors=True)
+        return done
+
     def commit_many(self, table: str, rows: DataFrame) -> int:
         """One commit of many new rows from a DataFrame with the table's columns (those left
         out take defaults); keys must be new and distinct."""
         t = self.catalog.table(table)
-        have = {c.lower(): c for c in rows.columns}
-        image = []
-        for f in t.active:
-            if f.name.lower() in have:
-                value = F.col(have[f.name.lower()]).cast(types.SPARK[f.type])
-            else:
-                value = F.lit(f.default).cast(types.SPARK[f.type])
-            image.append((F.when(value.isNull(), F.raise_error(F.lit(f"{f.name} can't be NULL")).cast(types.SPARK[f.type])).otherwise(value) if f.not_null else value).alias(f"f{f.id}"))
+        self.store.check_writable()
+        image = self._image_columns(t, rows)
         seq = self.head + 1
         pk = next(f for f in t.active if f.name == t.primary_key)
         made = rows.select(F.struct(*image).alias("after"))
@@ -470,42 +539,80 @@ class Engine:
     # --- history and feed
     def history(self, table: str, key: int | None = None) -> DataFrame:
         """Every version of rows, oldest first within a key, with begin_ts and end_ts (null:
-        current); deletions end a version."""
-        from pyspark.sql import Window
-
+        current); deletions end a version.  After a vacuum the versions that were current
+        at its horizon are the oldest that are left."""
         t = self.catalog.table(table)
-        log = self.store.log(t)
+        horizon = self.store.horizon(t)
+        log = self.store.log(t, horizon).select("pk", "commit_seq", "kind", "schema_version", "after")
+        if horizon:
+            rows = self.store.rows(t, horizon)
+            log = log.unionByName(rows.select("pk", "commit_seq", F.lit("insert").alias("kind"), "schema_version", F.struct(*[f"f{f.id}" for f in t.fields]).alias("after")))
         if key is not None:
             log = log.where(F.col("pk") == key)
         order = Window.partitionBy("pk").orderBy("commit_seq")
-        versions = log.withColumn("end_ts", F.lead("commit_ts").over(order)).where("kind <> 'delete'")
-        return versions.select("pk", F.col("commit_ts").alias("begin_ts"), "end_ts", "schema_version", F.col("after").alias("row"))
+        versions = log.withColumn("end_ts", F.lead("commit_seq").over(order)).where("kind <> 'delete'")
+        return versions.select("pk", F.col("commit_seq").alias("begin_ts"), "end_ts", "schema_version", F.col("after").alias("row"))
 
-    def changes(self, table: str, after: int = 0, max_commits: int | None = None) -> DataFrame:
+    def changes(self, table: str, after: int = 0, max_commits: int | None = None, max_bytes: int | None = None) -> DataFrame:
         """Committed row changes of a table after a commit, in pages of whole commits."""
-        t = self.catalog.table(table)
-        own = [c.seq for c in self.store.commits if c.seq > after and str(t.entity) in c.entities]
-        upto = self.head if max_commits is None or len(own) <= max_commits else own[max_commits - 1]
-        return self.store.log(t, after, upto)
+        return self.store.log(self.catalog.table(table), after, self.next_cursor(table, after, max_commits, max_bytes))
+
+    def next_cursor(self, table: str | None, after: int, max_commits: int | None = None, max_bytes: int | None = None) -> int:
+        """Where the page after this one begins: past ``max_commits`` commits, or as many as
+        hold ``max_bytes`` of changes, one at least.  Commits of other tables are passed
+        over; without a table all count."""
+        entity = None if table is None else str(self.catalog.table(table).entity)
+        own = [c for c in self.store.commits if c.seq > after and (entity is None or entity in c.entities)]
+        taken = size = 0
+        for c in own:
+            size += sum(e.get("bytes", 0) for k, e in c.entities.items() if entity in (None, k))
+            if taken and (taken == max_commits or (max_bytes is not None and size > max_bytes)):
+                return own[taken - 1].seq
+            taken += 1
+        return self.head
 
-    def next_cursor(self, table: str, after: int, max_commits: int) -> int:
-        """Where the page after this one begins; commits of other tables are passed over."""
-        t = self.catalog.table(table)
-        own = [c.seq for c in self.store.commits if c.seq > after and str(t.entity) in c.entities]
-        return own[max_commits - 1] if len(own) > max_commits else self.head
+    def feed(self, after: int = 0, max_commits: int | None = None, max_bytes: int | None = None) -> DataFrame:
+        """The change feed of all tables after a commit, a page of whole commits: schema
+        changes (kind "schema" or "drop_table"), which come ahead of the row changes of the
+        same commit or later ones, and row changes with images as JSON by field id."""
+        upto = self.next_cursor(None, after, max_commits, max_bytes)
+        image = lambda c: F.to_json(c, {"ignoreNullFields": "false"}).alias(c)
+        out = self.catalog_events(after).where(F.col("commit_seq") <= upto)
+        out = out.select("commit_seq", "commit_ts", F.lit(0).alias("place"), F.lit(None).cast("string").alias("table"), "kind", *(F.lit(None).cast(k).alias(n) for n, k in (("pk", "long"), ("schema_version", "long"), ("before", "string"), ("after", "string"))), "note")
+        for t in self.catalog.tables.values():
+            rows = self.store.log(t, after, upto)
+            out = out.unionByName(rows.select("commit_seq", "commit_ts", F.lit(1).alias("place"), F.lit(t.name).alias("table"), "kind", "pk", "schema_version", image("before"), image("after"), F.lit(None).cast("string").alias("note")))
+        return out.orderBy("commit_seq", "place", "table", "pk").drop("place")
 
     def vacuum(self, keep_from: int) -> list[int]:
-        """Drops log folders that a base makes needless and no read at ``keep_from`` or later
-        wants; projections that had not come so far are marked for a rebuild."""
-        import shutil
-
+        """Drops the changes that a base at ``keep_from`` or before makes needless.  Reads of
+        older commits, and feeds from before them, are refused from then on with the horizon
+        named; projections that had not come so far are marked for a rebuild."""
         gone = []
         for t in self.catalog.tables.values():
             base = max([b for b in self.store._bases(t.entity) if b <= keep_from], default=0)
-            for c in self.store.commits:
-                if c.seq <= base and str(t.entity) in c.entities and self.store.log_path(t.entity, c.seq).exists():
-                    shutil.rmtree(self.store.log_path(t.entity, c.seq))
-                    gone.append(c.seq)
+            seqs = [c.seq for c in self.store.commits_of(t, self.store.horizon(t), base)]
+            self.store.drop_log(t, seqs)
+            gone += seqs
+        self.projections.overtaken(max(gone, default=0))
+        return gone
+
+    def retain(self, limits: Retention = Retention(), now_ms: int | None = None) -> list[int]:
+        """Prunes each table's change log by the retention rules: what every consumer has
+        passed, and what is beyond a limit.  A base of the rows at the new horizon is written
+        before anything goes."""
+        gone = []
+        now = int(self.clock() * 1000) if now_ms is None else now_ms
+        for t in self.catalog.tables.values():
+            entity = str(t.entity)
+            kept = self.store.commits_of(t, self.store.horizon(t))
+            cursors = [p.frontier for p in self.projections.projections.values() if p.table.lower() == t.name.lower()] + list(self.projections.offsets.values())
+            segments = [Segment(c.seq, c.entities[entity].get("bytes", 0), c.wall_ms) for c in kept]
+            seqs = prunable(segments, min(cursors, default=None), self.head, now, limits)
+            if seqs:
+                self.store.compact(t, max(seqs))
+                self.store.drop_log(t, seqs)
+                gone += seqs
         self.projections.overtaken(max(gone, default=0))
         return gone
 
@@ -514,8 +621,8 @@ class Engine:
         bad = []
         for i in self.catalog.indexes.values():
             t = self.catalog.table(i.table)
-            copy = self.spark.read.parquet(self.index_path(i))
-            rows = adapted(self.store.rows(t, i.watermark), t).select(*copy.columns)
+            copy = self.read_index(i)
+            rows = adapted(self.store.rows(t), t).select(*copy.columns)
             if not copy.exceptAll(rows).isEmpty() or not rows.exceptAll(copy).isEmpty():
                 bad.append(i.name)
         return bad
@@ -558,7 +665,8 @@ class Engine:
         t = self.lookup(table)
         columns = [c for c in t.columns if c.type is not None]
         old = self.statistics.get(t.name.lower())
-        s = analyze_table(t.scan(None, [c.name for c in columns]), {c.name: c.type for c in columns}, t.primary_key)
+        prefixes = {tuple(c for c, _ in i.keys[:k]) for i in t.indexes for k in range(2, len(i.keys) + 1)}
+        s = analyze_table(t.scan(None, [c.name for c in columns]), {c.name: c.type for c in columns}, t.primary_key, sorted(prefixes))
         s.commit_seq, s.generation = self.head, (old.generation if old else 0) + 1
         self.statistics[t.name.lower()] = s
         self.cache.clear()
@@ -618,7 +726,8 @@ class Engine:
         lines.append(f"plan cache: {len(self.cache)} entries")
         if analyze:
             began = time.perf_counter()
-            n = len(plan.df.collect())
+            plan.df.write.format("noop").mode("overwrite").save()
+            n = plan.observed["result"].get["rows"]
             lines.append(f"profile: {(time.perf_counter() - began) * 1000:.1f} ms, {n} rows")
             for alias, o in plan.observed.items():
                 actual = o.get["rows"]

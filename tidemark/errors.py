@@ -25,5 +25,14 @@ class ConflictError(TidemarkError):
     """Another commit came first, or a key exists."""
 
 
+class HorizonError(NotFoundError):
+    """The changes that a read needs were vacuumed."""
+
+
+class PoisonedError(TidemarkError):
+    """A commit failed so that it may or may not have been made; nothing is written until
+    the log has been read again."""
+
+
 class ConsistencyError(TidemarkError):
     """The freshness that a session asks for can't be had."""

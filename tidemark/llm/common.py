@@ -36,6 +36,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (a few integers a row), materialised; marked for a broadcast if it is counted
+    at ``limit`` rows or fewer, else left to a shuffled join, which adaptive execution
+    splits at a hot key."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", limit: int = 1_000_000) -> DataFrame:
     """``docs`` without the rows whose id is in ``ids`` (one column, the same name): up to
     ``limit`` ids, counted first, are broadcast (8 bytes each), more are joined."""

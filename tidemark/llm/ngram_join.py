@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, release, set_digests, slices, text_sets, texts
+from tidemark.llm.common import broadcast_if_small, cut, release, set_digests, slices, text_sets, texts
 from tidemark.llm.components import linked_components, overlap_links
 from tidemark.llm.incidence import FLUSH_ENTRIES, heavy_candidates, heavy_columns, shared_columns
 
@@ -113,7 +113,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     Null or empty text, or one of white space only: n_shingles 0, linked with nothing.
     Null doc_id: the row stays, its component_id is null, and it links nothing.  A
     doc_id that occurs again, with the same or another text: every row is returned and
-    is placed by its own text.  Empty table: no rows.  Other columns are not read.
+    is placed by its own text.  Very long texts are read whole.  Empty table: no rows.  Other columns are not read.
     """
     num, den = threshold
     source = texts(docs, id_col, text_col)
@@ -131,12 +131,17 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         return both.select("a", "b", "n_a", "n_b", "cols_a", "cols_b").mapInArrow(overlap_links(num, den), "a long, b long")
 
     labels = linked_components(held, keys, verify, num, den)
-    placed = measured.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
-    lowest = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("lowest"))
-    return placed.join(lowest, "root", "left").select(
+    # The smallest document of each set, of each class of sets, and of each set's class.
+    per_node = measured.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    linked = labels.join(per_node, "node")
+    lowest = linked.groupBy("root").agg(F.min("low").alias("lowest"))
+    linked = linked.join(broadcast_if_small(lowest), "root").select("node", "lowest")
+    classes = per_node.join(linked, "node", "left").where("n > 1 or lowest is not null").select("node", F.coalesce("lowest", "low").alias("lowest"))
+    return measured.join(broadcast_if_small(classes), "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "doc_id")).alias("component_id")
     )
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ngram_jaccard_components`` of all documents."""
     return ngram_jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SHINGLE_WORDS, _splitmix, cut, mix, release, rolling_hashes, set_digests, slices, sorted_sets, span_hashes, texts, word_spans
+from tidemark.llm.common import SHINGLE_WORDS, _splitmix, broadcast_if_small, cut, mix, release, rolling_hashes, set_digests, slices, sorted_sets, span_hashes, texts, word_spans
 from tidemark.llm.components import linked_components, overlap_links
 from tidemark.llm.incidence import FLUSH_ENTRIES, MARKED, _runs, heavy_candidates, heavy_columns, shared_columns
 
@@ -37,7 +37,6 @@ WINNOW = 11  # a run of WINDOW + WINNOW - 1 words that two texts share has a win
 RECALL, MAX_HASHES = 0.999, 36  # of lines
 WINDOW_RECALL, WINDOW_HASHES = 0.95, 8  # of windows; equal ones always meet
 WINDOW_BLOCK = 1 << 14
-BROADCAST_ROWS = 200_000  # classes: three integers each
 SIEVE_BITS = 25  # a bitmap of 4 MB
 LINE, PASSAGE = 0, 1
 _NONE = np.zeros(0, np.uint64)
@@ -366,9 +365,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     marked_value = (heavy[1][0], np.full(len(heavy[1][0]), MARKED))
     found = cut(shared_columns(source, entries.get(1, 0), _placed(min_words), _repeats, _FOUND, marked_value, value="first", each_entry=True, marked=labels.select("node")))
     open_ = found.where("node is not null").join(labels, "node", "left").withColumn("class", F.coalesce("root", "node"))
-    classes = cut(open_.groupBy("class").agg(F.min(F.struct("doc_id", "first")).alias("one"), F.max("doc_id").alias("top")).where("one.doc_id < top"))
-    small = classes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    settled = open_.join(F.broadcast(classes) if small else classes, "class").select(
+    classes = open_.groupBy("class").agg(F.min(F.struct("doc_id", "first")).alias("one"), F.max("doc_id").alias("top")).where("one.doc_id < top")
+    settled = open_.join(broadcast_if_small(classes), "class").select(
         "doc_id", "kind", "first", "last", "n_words", F.col("one.doc_id").alias("component_id"),
         ((F.col("doc_id") == F.col("one.doc_id")) & (F.col("first") == F.col("one.first"))).alias("kept"),
     )

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from tidemark.adaptive.statistics import column_sample, common_values, histogram
 from tidemark.engine import Engine
-from tidemark.operators import versioned
+from tidemark.errors import ConflictError
 from tidemark.plans.parser import parse
+from tidemark.streaming.feed import ChangeFeed
+from tidemark.streaming.projections import maintain_table, maintained_rows
 
 KEYS = {
     "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey",
@@ -121,6 +123,22 @@ RELATIONAL: dict[str, tuple[str, str]] = {
     "topk": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey LIMIT 10"),
     "topk_hidden_key": ("SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 25", "SELECT o_orderkey FROM orders ORDER BY o_totalprice NULLS LAST, o_orderkey LIMIT 25"),
     "limit_zero": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 0", "SELECT o_orderkey FROM orders LIMIT 0"),
+    "agg_sum_double": ("SELECT l_returnflag, SUM(l_quantity) AS s FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, sum(l_quantity) AS s FROM lineitem GROUP BY 1"),
+    "null_literal": ("SELECT o_orderkey FROM orders WHERE o_orderkey = NULL OR o_orderkey < 5", "SELECT o_orderkey FROM orders WHERE coalesce(o_orderkey = NULL, false) OR o_orderkey < 5"),
+    "precedence": (
+        "SELECT o_orderkey FROM orders WHERE o_orderkey < 10 OR o_orderkey > 100 AND NOT (o_orderstatus = 'F') AND o_orderkey < 200",
+        "SELECT o_orderkey FROM orders WHERE o_orderkey < 10 OR (o_orderkey > 100 AND (NOT o_orderstatus = 'F') AND o_orderkey < 200)",
+    ),
+    "default_names": ("SELECT o_orderstatus, COUNT(*), MIN(o_orderkey) FROM orders GROUP BY o_orderstatus", 'SELECT o_orderstatus, count(*) AS "count", min(o_orderkey) AS "min" FROM orders GROUP BY 1'),
+    "order_by_alias": ("SELECT o_orderkey AS k, o_totalprice AS p FROM orders ORDER BY p DESC, k LIMIT 7", "SELECT o_orderkey AS k, o_totalprice AS p FROM orders ORDER BY p DESC, k LIMIT 7"),
+    "order_by_group": (
+        "SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY c_mktsegment ORDER BY COUNT(*) DESC, c_mktsegment LIMIT 3",
+        "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3",
+    ),
+    "on_visibility": (
+        "SELECT c.c_custkey, n.n_name, r.r_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey AND c.c_custkey > r.r_regionkey WHERE c.c_custkey < 50",
+        "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey AND c_custkey > r_regionkey WHERE c_custkey < 50",
+    ),
     "join_order_star": (
         "SELECT r.r_name, COUNT(*) AS n FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey WHERE l.l_quantity > 40.0 GROUP BY r.r_name",
         "SELECT r_name, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_quantity > 40 GROUP BY 1",
@@ -128,34 +146,148 @@ RELATIONAL: dict[str, tuple[str, str]] = {
 }
 
 
-# --- versions, changes and schema over the events as a log (key user_id, order event_id)
+# --- versions, changes and schema: the events as the history of their users (the k-th event
+# of each user is the k-th version of the user's row, in commit k + 1)
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def _users(spark: SparkSession, sf_dir: str) -> Engine:
+    engine = Engine(spark, work_folder(spark))
+    engine.sql("CREATE TABLE users (user_id BIGINT PRIMARY KEY, event_id BIGINT NOT NULL, event_type STRING, value DOUBLE)")
+    engine.replay("users", _events(spark, sf_dir).select("user_id", "event_id", "event_type", "value"), "event_id")
+    return engine
+
+
 def state_current(spark, sf_dir):
-    return versioned.state(_events(spark, sf_dir), "user_id", "event_id", ["event_type", "value"])
+    return _users(spark, sf_dir).sql("SELECT user_id, event_id, event_type, value FROM users")
 
 
 def state_as_of(spark, sf_dir):
-    return versioned.state(_events(spark, sf_dir), "user_id", "event_id", ["event_type", "value"], 500)
+    return _users(spark, sf_dir).sql("SELECT user_id, event_id, event_type, value FROM users AS OF VERSION 21")
+
+
+def state_compacted(spark, sf_dir):
+    """The same from a base with the later changes on top of it, after a vacuum."""
+    engine = _users(spark, sf_dir)
+    engine.store.compact(engine.catalog.table("users"), 11)
+    engine.vacuum(11)
+    return engine.sql("SELECT user_id, event_id, event_type, value FROM users")
 
 
 def row_history(spark, sf_dir):
-    return versioned.versions(_events(spark, sf_dir), "user_id", "event_id", ["event_type"])
+    return _users(spark, sf_dir).history("users").select(F.col("pk").alias("user_id"), "begin_ts", "end_ts", F.col("row.f3").alias("event_type"))
+
+
+def point_history(spark, sf_dir):
+    return _users(spark, sf_dir).history("users", 7).select("begin_ts", "end_ts", F.col("row.f2").alias("event_id"))
 
 
 def change_feed_page(spark, sf_dir):
-    return versioned.feed_page(_events(spark, sf_dir).select("event_id", "user_id", "event_type"), "event_id", 100, 250)
+    return _users(spark, sf_dir).changes("users", 3, 5).select("commit_seq", F.col("pk").alias("user_id"), "kind", F.col("after.f2").alias("event_id"), F.col("before.f2").alias("before_id"))
 
 
 def change_feed_kinds(spark, sf_dir):
-    return versioned.change_kinds(_events(spark, sf_dir), "user_id", "event_id")
+    """By way of the streaming source, read as a batch."""
+    engine = _users(spark, sf_dir)
+    spark.dataSource.register(ChangeFeed)
+    changes = spark.read.format("tidemark_changes").option("root", str(engine.store.root)).option("entity", str(engine.catalog.table("users").entity)).load()
+    return changes.select(F.col("pk").alias("user_id"), F.get_json_object("after", "$.f2").cast("long").alias("event_id"), "kind")
+
+
+def change_feed_all(spark, sf_dir):
+    """Schema changes ahead of the row changes of all tables, behind a cursor."""
+    engine = _users(spark, sf_dir)
+    engine.sql("ALTER TABLE users ADD COLUMN channel STRING DEFAULT 'unknown'")
+    engine.sql("CREATE TABLE other (id BIGINT PRIMARY KEY)")
+    engine.sql("INSERT INTO other VALUES (5)")
+    head = engine.head
+    return engine.feed(2).select((F.lit(head) - F.col("commit_seq")).alias("before_head"), "table", "kind", "pk")
+
+
+def projection_rows(spark, sf_dir):
+    """Rows kept by a projection that follows the change stream."""
+    engine = _users(spark, sf_dir)
+    folder = f"{engine.store.root}/projection"
+    maintain_table(engine, "users", f"{folder}/rows", f"{folder}/checkpoint")
+    return maintained_rows(spark, f"{folder}/rows").select(F.col("pk").alias("user_id"), F.get_json_object("after", "$.f2").cast("long").alias("event_id"))
+
+
+def consumer_pages(spark, sf_dir):
+    """What a named consumer sees in pages with a durable offset."""
+    engine = _users(spark, sf_dir)
+    out = None
+    for _ in range(3):
+        at = engine.projections.offsets.get("reader", 0)
+        page = engine.changes("users", at, 4).select("commit_seq", "pk")
+        out = page if out is None else out.unionByName(page)
+        engine.projections.commit_offset("reader", engine.next_cursor("users", at, 4))
+    return out
 
 
 def schema_virtual_default(spark, sf_dir):
-    df = _events(spark, sf_dir).select("event_id", F.col("event_type").alias("channel"))
-    return versioned.with_virtual_default(df, "channel", F.col("event_id") >= 300, "unknown")
+    engine = Engine(spark, work_folder(spark))
+    engine.sql("CREATE TABLE happening (event_id BIGINT PRIMARY KEY, value DOUBLE)")
+    events = _events(spark, sf_dir).select("event_id", "value", F.col("event_type").alias("channel"))
+    engine.commit_many("happening", events.where("event_id < 300").drop("channel"))
+    engine.sql("ALTER TABLE happening ADD COLUMN channel STRING DEFAULT 'unknown'")
+    engine.commit_many("happening", events.where("event_id >= 300"))
+    return engine.sql("SELECT event_id, channel FROM happening")
+
+
+def schema_rename_drop(spark, sf_dir):
+    engine = _orders_database(spark, sf_dir)
+    engine.sql("ALTER TABLE book RENAME COLUMN customer TO buyer")
+    engine.sql("ALTER TABLE book DROP COLUMN price")
+    return engine.sql("SELECT * FROM book WHERE buyer < 20")
+
+
+def show_schema(spark, sf_dir):
+    engine = Engine(spark, work_folder(spark))
+    engine.sql("CREATE TABLE t (id BIGINT PRIMARY KEY, v STRING)")
+    engine.sql("ALTER TABLE t ADD COLUMN w BIGINT")
+    engine.sql("ALTER TABLE t RENAME COLUMN v TO x")
+    return engine.sql("SHOW SCHEMA t")
+
+
+def show_indexes(spark, sf_dir):
+    return _orders_database(spark, sf_dir).sql("SHOW INDEXES ON book").select("name", "table", "columns", "include")
+
+
+def dml_statements(spark, sf_dir):
+    engine = _orders_database(spark, sf_dir)
+    for text in ("INSERT INTO book VALUES (-1, 5, 'N', 1.5)", "INSERT INTO book (id, customer) VALUES (-2, 6)", "UPDATE book SET status = 'U', price = 2.0 WHERE id = 3", "DELETE FROM book WHERE id = 4"):
+        engine.sql(text)
+    return engine.sql("SELECT id, customer, status FROM book WHERE id < 10")
+
+
+def transaction_rows(spark, sf_dir):
+    """One transaction over two tables; a second one that read what it wrote is refused."""
+    engine = _orders_database(spark, sf_dir)
+    engine.sql("CREATE TABLE audit (id BIGINT PRIMARY KEY, note STRING)")
+    first, second = engine.begin(), engine.begin()
+    first.put("book", {"id": 1, "customer": 1, "status": "T"})
+    first.put("audit", {"id": 1, "note": "changed"})
+    second.get("book", 1)
+    second.put("audit", {"id": 2, "note": "lost"})
+    first.commit()
+    try:
+        second.commit()
+    except ConflictError:
+        pass
+    return engine.sql("SELECT b.id, b.status, a.note FROM book b JOIN audit a ON b.id = a.id")
+
+
+def scan_pages(spark, sf_dir):
+    """Pages of one snapshot, put together; a write between them isn't seen."""
+    engine = _orders_database(spark, sf_dir)
+    at, after, out = engine.head, None, []
+    for _ in range(4):
+        page = engine.scan_page("book", after, 25, at)
+        out += [(r["id"], r["status"]) for r in page]
+        after = out[-1][0]
+        engine.update("book", after + 1, {"status": "late"})
+    return spark.createDataFrame(out, "id long, status string")
 
 
 def _orders_database(spark: SparkSession, sf_dir: str) -> Engine:
@@ -178,6 +310,16 @@ def index_range_fetch(spark, sf_dir):
     return engine.sql("SELECT id, price FROM book WHERE customer >= 10 AND customer < 14")
 
 
+def index_after_writes(spark, sf_dir):
+    """Rows written after CREATE INDEX, read through the index."""
+    engine = _orders_database(spark, sf_dir)
+    engine.update("book", 1, {"customer": 7})
+    engine.update("book", 2, {"status": "X", "customer": 7})
+    engine.sql("INSERT INTO book VALUES (-1, 7, 'N', 1.0)")
+    engine.delete("book", 3)
+    return engine.sql("SELECT id, status FROM book WHERE customer = 7")
+
+
 def index_as_of(spark, sf_dir):
     engine = _orders_database(spark, sf_dir)
     before = engine.head
@@ -231,33 +373,70 @@ def _workload(spark, sf_dir, runs: int = 3) -> Engine:
 
 
 def plan_qerror(spark, sf_dir):
-    return spark.createDataFrame([(f["shape"], float(f["estimated"]), int(f["actual"]), float(f["q"])) for f in _workload(spark, sf_dir).feedback], "shape string, estimated double, actual long, q double")
+    """Rows of each run, and whether the estimate was within a factor of eight."""
+    return spark.createDataFrame([(i, int(f["actual"]), f["q"] <= 8.0) for i, f in enumerate(_workload(spark, sf_dir).feedback)], "run int, actual long, near boolean")
+
+
+def feedback_lines(spark, sf_dir):
+    """The planner's feedback log: rows of each operator of each run."""
+    entries = _workload(spark, sf_dir, 1).feedback_log.entries()
+    return spark.createDataFrame([(e["operator"], int(e["actual"])) for e in entries], "operator string, actual long")
 
 
 def telemetry_shapes(spark, sf_dir):
     shapes = _workload(spark, sf_dir).telemetry.shapes
-    return spark.createDataFrame([(k, ",".join(s.shape.tables), s.runs, s.rows_read, s.rows_out) for k, s in shapes.items()], "shape string, tables string, runs long, rows_read long, rows_out long")
+    return spark.createDataFrame([(",".join(s.shape.tables), ",".join(".".join(f) for f in s.shape.filters), s.runs, s.rows_read, s.rows_out) for s in shapes.values()], "tables string, filters string, runs long, rows_read long, rows_out long")
 
 
 def advice(spark, sf_dir):
     engine = _workload(spark, sf_dir, 20)
-    return spark.createDataFrame([(w, a.action, a.table, ",".join(a.columns), float(a.ratio)) for w, a in engine.advisor.log], "event string, action string, table string, columns string, ratio double")
+    return spark.createDataFrame([(w, a.action, a.table, ",".join(a.columns)) for w, a in engine.advisor.log], "event string, action string, table string, columns string")
 
 
 def actions(spark, sf_dir):
     engine = _workload(spark, sf_dir, 20)
     engine.adaptive = "auto_safe"
     engine.controller.tick(list(engine.advisor.shown.values()), engine.adaptive)
-    return spark.createDataFrame(engine.controller.log, "event string, name string, reason string")
+    return spark.createDataFrame(engine.controller.log, "event string, name string, reason string").select("event", "name")
 
 
+_RANKED = "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
+_NEWEST = "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM"
+
 OTHER: dict[str, tuple[Callable, str | None]] = {
-    "state_current": (state_current, "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1"),
-    "state_as_of": (state_as_of, "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events WHERE event_id <= 500 GROUP BY 1"),
-    "row_history": (row_history, "SELECT user_id, event_id AS begin_ts, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS end_ts, event_type FROM events"),
-    "change_feed_page": (change_feed_page, "SELECT event_id, user_id, event_type FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 250"),
-    "change_feed_kinds": (change_feed_kinds, "SELECT user_id, event_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 THEN 'insert' ELSE 'update' END AS kind FROM events"),
+    "state_current": (state_current, f"{_NEWEST} events GROUP BY 1"),
+    "state_as_of": (state_as_of, f"{_NEWEST} {_RANKED} WHERE k <= 20 GROUP BY 1"),
+    "state_compacted": (state_compacted, f"{_NEWEST} events GROUP BY 1"),
+    "row_history": (row_history, f"SELECT user_id, k + 1 AS begin_ts, CASE WHEN k < n THEN k + 2 END AS end_ts, event_type FROM {_RANKED}"),
+    "point_history": (point_history, f"SELECT k + 1 AS begin_ts, CASE WHEN k < n THEN k + 2 END AS end_ts, event_id FROM {_RANKED} WHERE user_id = 7"),
+    "change_feed_page": (
+        change_feed_page,
+        f"SELECT k + 1 AS commit_seq, user_id, CASE WHEN k = 1 THEN 'insert' ELSE 'update' END AS kind, event_id, before_id FROM (SELECT *, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before_id FROM {_RANKED}) WHERE k BETWEEN 3 AND 7",
+    ),
+    "change_feed_kinds": (change_feed_kinds, f"SELECT user_id, event_id, CASE WHEN k = 1 THEN 'insert' ELSE 'update' END AS kind FROM {_RANKED}"),
+    "change_feed_all": (
+        change_feed_all,
+        f"SELECT top + 4 - (k + 1) AS before_head, 'users' AS \"table\", CASE WHEN k = 1 THEN 'insert' ELSE 'update' END AS kind, user_id AS pk FROM (SELECT *, max(k) OVER () AS top FROM {_RANKED}) WHERE k + 1 > 2 UNION ALL SELECT * FROM (VALUES (2, NULL, 'schema', NULL), (1, NULL, 'schema', NULL), (0, 'other', 'insert', 5))",
+    ),
+    "projection_rows": (projection_rows, "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1"),
+    "consumer_pages": (consumer_pages, f"SELECT k + 1 AS commit_seq, user_id AS pk FROM {_RANKED} WHERE k <= 12"),
     "schema_virtual_default": (schema_virtual_default, "SELECT event_id, CASE WHEN event_id < 300 THEN 'unknown' ELSE event_type END AS channel FROM events"),
+    "schema_rename_drop": (schema_rename_drop, "SELECT o_orderkey AS id, o_custkey AS buyer, o_orderstatus AS status FROM orders WHERE o_custkey < 20"),
+    "show_schema": (
+        show_schema,
+        "SELECT * FROM (VALUES (1, 1, 'create', 'id BIGINT, v STRING'), (2, 2, 'add w', 'id BIGINT, v STRING, w BIGINT'), (3, 3, 'rename v to x', 'id BIGINT, x STRING, w BIGINT')) AS t(version, epoch, change, columns)",
+    ),
+    "show_indexes": (show_indexes, "SELECT 'by_customer' AS name, 'book' AS \"table\", 'customer' AS columns, 'status' AS include"),
+    "dml_statements": (
+        dml_statements,
+        "SELECT o_orderkey AS id, o_custkey AS customer, CASE WHEN o_orderkey = 3 THEN 'U' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey < 10 AND o_orderkey <> 4 UNION ALL SELECT -1, 5, 'N' UNION ALL SELECT -2, 6, NULL",
+    ),
+    "transaction_rows": (transaction_rows, "SELECT 1 AS id, 'T' AS status, 'changed' AS note"),
+    "scan_pages": (scan_pages, "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders ORDER BY 1 LIMIT 100"),
+    "index_after_writes": (
+        index_after_writes,
+        "SELECT o_orderkey AS id, CASE WHEN o_orderkey = 2 THEN 'X' ELSE o_orderstatus END AS status FROM orders WHERE (o_custkey = 7 OR o_orderkey IN (1, 2)) AND o_orderkey <> 3 UNION ALL SELECT -1, 'N'",
+    ),
     "index_covering": (index_covering, "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_custkey = 7"),
     "index_range_fetch": (index_range_fetch, "SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_custkey >= 10 AND o_custkey < 14"),
     "index_as_of": (index_as_of, "SELECT o_orderkey AS id, o_custkey AS customer, o_orderstatus AS status FROM orders WHERE o_custkey < 50"),
@@ -274,8 +453,9 @@ OTHER: dict[str, tuple[Callable, str | None]] = {
         analyze_histogram,
         "WITH s AS (SELECT s_acctbal AS v, row_number() OVER (ORDER BY s_acctbal) - 1 AS r, count(*) OVER () AS n FROM supplier), b AS (SELECT v, r, least(64, n) AS b, n FROM s), p AS (SELECT v, i AS bucket FROM b, range(64) AS g(i) WHERE i < b AND r >= (i * n) // b AND r < ((i + 1) * n) // b) SELECT CAST(bucket AS INTEGER) AS bucket, min(v) AS low, max(v) AS high, count(*) AS n FROM p GROUP BY 1",
     ),
-    "plan_qerror": (plan_qerror, None),
-    "telemetry_shapes": (telemetry_shapes, None),
+    "plan_qerror": (plan_qerror, "SELECT CAST(3 * t + i AS INTEGER) AS run, count(o_orderkey) AS actual, true AS near FROM range(3) AS a(t) CROSS JOIN range(3) AS b(i) LEFT JOIN orders ON o_custkey = t * 7 + i GROUP BY t, i"),
+    "feedback_lines": (feedback_lines, "SELECT 'book' AS operator, count(*) AS actual FROM orders CROSS JOIN range(3) AS a(t) GROUP BY t UNION ALL SELECT 'result', count(o_orderkey) FROM range(3) AS a(t) LEFT JOIN orders ON o_custkey = t * 7 GROUP BY t"),
+    "telemetry_shapes": (telemetry_shapes, "SELECT 'book' AS tables, 'book.customer' AS filters, 9 AS runs, 9 * count(*) AS rows_read, count(*) FILTER (o_custkey IN (0, 1, 2, 7, 8, 9, 14, 15, 16)) AS rows_out FROM orders"),
     "advice": (advice, None),
     "actions": (actions, None),
 }

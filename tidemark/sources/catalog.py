@@ -54,8 +54,19 @@ class IndexSchema:
     table: str
     keys: list[tuple[str, bool]]
     include: list[str]
-    usable_from: int
-    watermark: int
+    copies: list[int]  # the commits of which there is a sorted copy, oldest first
+
+    @property
+    def usable_from(self) -> int:
+        return self.copies[0]
+
+    @property
+    def watermark(self) -> int:
+        return self.copies[-1]
+
+    def copy_for(self, at: int) -> int | None:
+        """The newest copy that is no newer than a commit."""
+        return max((c for c in self.copies if c <= at), default=None)
 
 
 @dataclass
@@ -173,7 +184,7 @@ class Catalog:
         more = [t.find(c).name for c in include]
         if len({*named, *more}) != len(named) + len(more):
             raise CatalogError("an index names a column twice")
-        out = IndexSchema(name, t.name, [(n, d) for n, (_, d) in zip(named, keys, strict=True)], more, seq, seq)
+        out = IndexSchema(name, t.name, [(n, d) for n, (_, d) in zip(named, keys, strict=True)], more, [seq])
         self.indexes[name.lower()] = out
         return out
 

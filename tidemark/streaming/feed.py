@@ -3,8 +3,10 @@
     spark.dataSource.register(ChangeFeed)
     spark.readStream.format("tidemark_changes").option("root", path).option("entity", "1").load()
 
-An offset is a commit number, a partition the parquet folder of one commit; a micro-batch
-holds whole commits, at most ``max_commits`` of them.  Images are JSON by field id.
+An offset is a commit number, a partition one parquet file of a commit; a micro-batch holds
+whole commits, at most ``max_commits`` of them or ``max_bytes`` of changes, one at least.
+Images are JSON by field id.  With the option ``catalog`` schema changes come too, as rows
+without a key, ahead of the row changes that use them.
 """
 
 from __future__ import annotations
@@ -15,72 +17,110 @@ from pathlib import Path
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from tidemark.errors import HorizonError
+
 SCHEMA = "commit_seq long, commit_ts long, pk long, kind string, schema_version long, before string, after string"
 
 
-class _CommitFolder(InputPartition):
+class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
 
 
-def _commits(root: str, entity: str) -> list[int]:
-    out = []
-    for p in sorted((Path(root) / "manifests").glob("*.json")):
-        doc = json.loads(p.read_text())
-        if entity in doc["entities"]:
-            out.append(doc["seq"])
-    return out
-
-
-def _head(root: str) -> int:
-    return max((int(p.stem) for p in (Path(root) / "manifests").glob("*.json")), default=0)
-
+class _Event(InputPartition):
+    def __init__(self, row: tuple):
+        self.row = row
 
-def _folder(root: str, entity: str, seq: int) -> _CommitFolder:
-    return _CommitFolder(str(Path(root) / "log" / f"t{entity}" / f"c{seq:012d}"))
 
+class _Log:
+    """The commits of one table under a root folder; each manifest is read once."""
 
-def _rows(path: str) -> Iterator[tuple]:
+    def __init__(self, options: dict):
+        self.root, self.entity = Path(options["root"]), options["entity"]
+        self.catalog = options.get("catalog", "false").lower() == "true"
+        self.max_commits = int(options.get("max_commits", 1_000_000))
+        self.max_bytes = int(options.get("max_bytes", 1 << 62))
+        self.known: dict[int, dict] = {}
+
+    def commits(self) -> list[dict]:
+        for p in (self.root / "manifests").glob("*.json"):
+            if int(p.stem) not in self.known:
+                doc = json.loads(p.read_text())
+                self.known[doc["seq"]] = {k: doc[k] for k in ("seq", "ts", "epoch", "kind", "note")} | {"own": doc["entities"].get(self.entity)}
+        return [self.known[k] for k in sorted(self.known)]
+
+    def wanted(self) -> list[dict]:
+        return [c for c in self.commits() if c["own"] or (self.catalog and c["kind"] == "schema")]
+
+    def page_end(self, after: int) -> int:
+        taken = size = 0
+        last = after
+        for c in self.wanted():
+            if c["seq"] <= after:
+                continue
+            size += (c["own"] or {}).get("bytes", 0)
+            if taken and (taken == self.max_commits or size > self.max_bytes):
+                return last
+            taken, last = taken + 1, c["seq"]
+        return max([c["seq"] for c in self.commits()], default=after)
+
+    def partitions(self, after: int, upto: int | None = None) -> list[InputPartition]:
+        horizon = self.root / "horizon.json"
+        gone = json.loads(horizon.read_text()).get(self.entity, 0) if horizon.exists() else 0
+        out: list[InputPartition] = []
+        for c in self.wanted():
+            if c["seq"] <= after or (upto is not None and c["seq"] > upto):
+                continue
+            if c["own"]:
+                if c["seq"] <= gone:
+                    raise HorizonError(f"changes up to commit {gone} were vacuumed; what follows it can be read")
+                folder = self.root / "log" / f"t{self.entity}" / f"c{c['seq']:012d}"
+                out += [_File(str(p)) for p in sorted(folder.glob("*.parquet"))]
+            else:
+                out.append(_Event((c["seq"], c["ts"], None, "drop_table" if c["note"].startswith("DropTable") else "schema", c["epoch"], None, c["note"])))
+        return out
+
+
+def _rows(partition: InputPartition) -> Iterator[tuple]:
     import pyarrow.parquet as pq
 
+    if isinstance(partition, _Event):
+        yield partition.row
+        return
     image = lambda v: None if v is None else json.dumps(v, default=lambda b: b.hex())
-    for file in sorted(Path(path).glob("*.parquet")):
-        for batch in pq.ParquetFile(file).iter_batches():
-            for r in batch.to_pylist():
-                yield r["commit_seq"], r["commit_ts"], r["pk"], r["kind"], r["schema_version"], image(r.get("before")), image(r["after"])
+    for batch in pq.ParquetFile(partition.path).iter_batches(batch_size=8192):
+        for r in batch.to_pylist():
+            yield r["commit_seq"], r["commit_ts"], r["pk"], r["kind"], r["schema_version"], image(r.get("before")), image(r["after"])
 
 
 class _Stream(DataSourceStreamReader):
     def __init__(self, options: dict):
-        self.root, self.entity = options["root"], options["entity"]
-        self.start = int(options.get("after", 0))
-        self.max_commits = int(options.get("max_commits", 1_000_000))
-        self.at = self.start
+        self.log = _Log(options)
+        self.at = self.start = int(options.get("after", 0))
 
     def initialOffset(self) -> dict:
         return {"seq": self.start}
 
     def latestOffset(self) -> dict:
-        own = [c for c in _commits(self.root, self.entity) if c > self.at]
-        self.at = own[self.max_commits - 1] if len(own) > self.max_commits else max(_head(self.root), self.at)
+        self.at = max(self.log.page_end(self.at), self.at)
         return {"seq": self.at}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_folder(self.root, self.entity, c) for c in _commits(self.root, self.entity) if start["seq"] < c <= end["seq"]]
+        return self.log.partitions(start["seq"], end["seq"])
 
-    def read(self, partition: _CommitFolder) -> Iterator[tuple]:
-        return _rows(partition.path)
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return _rows(partition)
 
 
 class _Batch(DataSourceReader):
     def __init__(self, options: dict):
-        self.root, self.entity, self.after = options["root"], options["entity"], int(options.get("after", 0))
+        self.log, self.after = _Log(options), int(options.get("after", 0))
 
     def partitions(self) -> list[InputPartition]:
-        return [_folder(self.root, self.entity, c) for c in _commits(self.root, self.entity) if c > self.after]
+        return self.log.partitions(self.after)
 
-    def read(self, partition: _CommitFolder) -> Iterator[tuple]:
-        return _rows(partition.path)
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return _rows(partition)
 
 
 class ChangeFeed(DataSource):
