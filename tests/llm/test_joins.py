@@ -120,7 +120,7 @@ def test_random_pastes_against_brute_force(spark):
         for a, b, k in found:
             if len(holders[k]) > 1:
                 pairs += 1
-                missed += not any(r.doc_id == i and min(r.last + 1, b) - max(r.first, a) >= 35 for r in got)
+                missed += not any(r.doc_id == i and min(r.last + 1, b) - max(r.first, a) >= 28 for r in got)
     assert pairs > 60 and missed == 0
     assert 500 not in {r.doc_id for r in got}
     text = dict(rows)

@@ -3,7 +3,7 @@
 Two kinds of paragraph are compared, each with its own kind:
 
 * "paragraph": a line of 25 words or more;
-* "passage": 40 words in a row, whatever lines they stand on.  Of 11 neighbouring places
+* "passage": 32 words in a row, whatever lines they stand on.  Of 19 neighbouring places
   where one could begin, the one whose first shingle has the least hash is taken
   (winnowing), so that any 50 words in a row that two documents share hold one such window
   that is the same in both.  Windows are compared only if they begin with the same shingle:
@@ -32,10 +32,10 @@ from tidemark.llm.incidence import FLUSH_ENTRIES, MARKED, _runs, heavy_candidate
 
 THRESHOLD = (4, 5)
 MIN_WORDS = 25
-WINDOW = 40  # words of a passage
-WINNOW = 11  # a run of WINDOW + WINNOW - 1 words that two texts share has a window in both
-RECALL, MAX_HASHES = 0.999, 36  # of lines
-WINDOW_RECALL, WINDOW_HASHES = 0.95, 8  # of windows; equal ones always meet
+WINDOW = 32  # words of a passage
+WINNOW = 19  # a run of WINDOW + WINNOW - 1 words that two texts share has a window in both
+RECALL, MAX_HASHES = 0.99, 24  # of lines
+WINDOW_RECALL, WINDOW_HASHES = 0.95, 6  # of windows; equal ones always meet
 WINDOW_BLOCK = 1 << 14
 SIEVE_BITS = 25  # a bitmap of 4 MB
 LINE, PASSAGE = 0, 1
@@ -169,18 +169,22 @@ def _band_keys(p: Paragraphs, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
+def _bands_of(p: Paragraphs, nodes: np.ndarray, bands: dict[int, tuple[int, int]]):
+    """The distinct sets among these paragraphs as rows, their bands as columns."""
+    keep = np.zeros(len(nodes), dtype=bool)
+    keep[np.unique(nodes, return_index=True)[1]] = True
+    p, nodes = p.pick(keep), nodes[keep]
+    return nodes, p.sizes, np.full(len(nodes), bands[p.kind][0]), _band_keys(p, *bands[p.kind]).reshape(-1), _NONE
+
+
 def _banded(bands: dict[int, tuple[int, int]], min_words: int):
     """Rows are distinct sets of paragraphs, columns their bands."""
 
     def read(ids, nulls, offsets, data):
         for p in paragraphs(data, offsets, min_words):
             p = p.pick(~nulls[p.owner])
-            nodes = p.nodes()
-            keep = np.zeros(len(nodes), dtype=bool)
-            keep[np.unique(nodes, return_index=True)[1]] = True
-            p, nodes = p.pick(keep), nodes[keep]
-            if len(nodes):
-                yield nodes, p.sizes, np.full(len(nodes), bands[p.kind][0]), _band_keys(p, *bands[p.kind]).reshape(-1), _NONE
+            if len(p.owner):
+                yield _bands_of(p, p.nodes(), bands)
 
     return read
 
@@ -210,8 +214,6 @@ def _placed(min_words: int):
 def _measure(bands: dict[int, tuple[int, int]], min_words: int):
     """(which, column, n): entries of both incidences in all (column null), and the columns
     that are frequent in a block of entries."""
-    of_bands, of_places = _banded(bands, min_words), _placed(min_words)
-
     def run(batches):
         total, held, parts = [0, 0], [0, 0], [[], []]
 
@@ -221,13 +223,18 @@ def _measure(bands: dict[int, tuple[int, int]], min_words: int):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns), which, np.int32)), pa.array(columns.view(np.int64)), pa.array(counts, pa.int64())], names=["which", "column", "n"])
 
         for piece in slices(batches):
-            for which, read in enumerate((of_bands, of_places)):
-                for part in read(*piece):
-                    parts[which].append(part[3])
-                    held[which] += len(part[3])
-                    total[which] += len(part[3])
-                if held[which] >= FLUSH_ENTRIES:
-                    yield frequent(which)
+            _, nulls, offsets, data = piece
+            for p in paragraphs(data, offsets, min_words):
+                p = p.pick(~nulls[p.owner])
+                if not len(p.owner):
+                    continue
+                nodes = p.nodes()
+                for which, columns in enumerate((_bands_of(p, nodes, bands)[3], nodes.view(np.uint64))):
+                    parts[which].append(columns)
+                    held[which] += len(columns)
+                    total[which] += len(columns)
+                    if held[which] >= FLUSH_ENTRIES:
+                        yield frequent(which)
         for which in range(2):
             yield frequent(which)
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.nulls(2, pa.int64()), pa.array(total, pa.int64())], names=["which", "column", "n"])
