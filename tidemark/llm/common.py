@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
@@ -47,12 +47,19 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", limit: int = 1_000_000) -> DataFrame:
-    """``docs`` without the rows whose id is in ``ids`` (one column, the same name): up to
-    ``limit`` ids, counted first, are broadcast (8 bytes each), more are joined."""
-    ids = cut(ids.where(F.col(id_col).isNotNull()).distinct())
-    small = ids.limit(limit + 1).count() <= limit
-    return docs.join(F.broadcast(ids) if small else ids, id_col, "left_anti").select(*docs.columns)
+def text_key(text: Column) -> Column:
+    """What stands for the text of a row beside its id: ids may occur again."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, leaving: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 1_000_000) -> DataFrame:
+    """``docs`` without the rows whose id and ``text_key`` are in ``leaving`` (id, key): up
+    to ``limit`` rows, counted first, are broadcast (16 bytes each), more are joined.  A
+    null id leaves if it is listed."""
+    leaving = cut(leaving.select(leaving[0].alias("__leaving_id"), leaving[1].alias("__leaving_key")).distinct())
+    small = leaving.limit(limit + 1).count() <= limit
+    hit = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__leaving_id")) & (text_key(F.col(f"`{text_col}`")) == F.col("__leaving_key"))
+    return docs.join(F.broadcast(leaving) if small else leaving, hit, "left_anti")
 
 
 # --- documents -----------------------------------------------------------------------

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, text_key, without
 
 WINDOW = 8
 MIN_LITERALS = 4
@@ -121,9 +121,22 @@ def contaminated_passages(
     each answered, repeated items once.  An empty benchmark or table gives no rows.  Other
     columns are not read.
     """
+    return _passages(docs, benchmark, id_col, text_col, item_col, window, min_literals, min_coverage, min_words).drop("key")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """``docs`` (all columns) without the rows that hold a passage of the benchmark, as
+    ``contaminated_passages`` finds them.  A row goes for its own text: one with the same id
+    and another text stays.  Null and empty texts stay."""
+    found = _passages(docs, benchmark, id_col, text_col, item_col, WINDOW, MIN_LITERALS, MIN_COVERAGE, MIN_WORDS)
+    return without(docs, found.select("doc_id", "key"), id_col, text_col)
+
+
+def _passages(docs, benchmark, id_col, text_col, item_col, window, min_literals, min_coverage, min_words) -> DataFrame:
+    """``contaminated_passages`` with the ``text_key`` of each row."""
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text <> ''")
     # Equal rows share this key and get equal answers.
-    read = read.withColumn("row", F.xxhash64("doc_id", "text"))
+    read = read.withColumn("key", text_key(F.col("text"))).withColumn("row", F.xxhash64("doc_id", "key"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null").distinct()
     items = items.withColumn("iw", words(F.col("text"))).where(F.size("iw") > 0)
     items = cut(items.select("item_id", F.xxhash64("item_id", "text").alias("item"), F.transform("iw", F.lower).alias("low"), F.transform("iw", template_hash).alias("ih"), F.transform("iw", _literal_hash).alias("il")))
@@ -139,7 +152,7 @@ def contaminated_passages(
         hits = here.join(F.broadcast(own) if _small(own, BROADCAST_ROWS) else own, "key")
         hits = hits.select("row", "item", "n_item", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", F.lit(k).alias("k"))
         matched = hits if matched is None else matched.unionByName(hits)
-    schema = "doc_id long, item_id long, first_word int, n_words int, coverage double, reparameterised boolean"
+    schema = "doc_id long, key long, item_id long, first_word int, n_words int, coverage double, reparameterised boolean"
     if matched is None:
         return docs.sparkSession.createDataFrame([], schema)
     # Equal rows bring their windows together: hence the sets.
@@ -166,7 +179,7 @@ def contaminated_passages(
     both = both.where(verbatim | (follow >= F.lit(CONSISTENT) * F.size("slots")))
     first = F.array_min(F.transform("lines", lambda x: F.array_min(x["p"]) + x["shift"]))
     return both.select(
-        "doc_id", "item_id", first.cast("int").alias("first_word"), F.col("covered").cast("int").alias("n_words"),
+        "doc_id", "key", "item_id", first.cast("int").alias("first_word"), F.col("covered").cast("int").alias("n_words"),
         (F.col("covered") / F.col("n_item")).alias("coverage"), F.exists("pairs", lambda x: x["i"] != x["d"]).alias("reparameterised"),
     )
 

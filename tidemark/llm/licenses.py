@@ -59,8 +59,25 @@ KNOWN = (
     ("LicenseRef-All-Rights-Reserved", "restricted", "All rights reserved."),
 )
 
-# Lines that name a holder or a year are left out of a text of several lines.
-_COPYRIGHT_LINE = r"(?m)^[\t ]*(?:copyright\b|\(c\)|©)[^\n]*(?:\n|$)"
+# Canonical digests of whole licence texts (SPDX identifier, kind, digest), as
+# Debian's common-licenses have them; the second of a licence is the text up to "END OF TERMS
+# AND CONDITIONS", without the advice on how to apply it.
+DIGESTS = (
+    ("Apache-2.0", "permissive", "4f8caa9a32c00fbc0b82aa9c4bec85c3"), ("Apache-2.0", "permissive", "28ebc01248a8dee857c26cb670d23345"),
+    ("Artistic-1.0-Perl", "permissive", "a8b0fb0c6e43a3b36bdc159e59dbfd1e"), ("CC0-1.0", "permissive", "d2a76f70ce19809695b7fb93c6241c23"),
+    ("GFDL-1.2-only", "copyleft", "7a0a547ecac612b526676be523eacf80"), ("GFDL-1.3-only", "copyleft", "7132e8380bc59358f27c3129a2136bf1"),
+    ("GPL-1.0-only", "copyleft", "31809d5ff1b729b7f878bc75c418d30f"), ("GPL-1.0-only", "copyleft", "dbf3c47f5a8f127e58d08cabc1ebb916"),
+    ("GPL-2.0-only", "copyleft", "af75a5e661f550f67c9548e7dd4ba8e7"), ("GPL-2.0-only", "copyleft", "68380dbeadb093b94ecf563db7312db7"),
+    ("GPL-3.0-only", "copyleft", "357ae433fb51614743c19a61d3021ca3"), ("GPL-3.0-only", "copyleft", "444f95dc767ede978b60cfb20fbd0bca"),
+    ("LGPL-2.0-only", "copyleft", "de345374dd8e314aed49ab961737c454"), ("LGPL-2.0-only", "copyleft", "c396ba2f94537628797123bc12cd2d6e"),
+    ("LGPL-2.1-only", "copyleft", "6f409198495a67ac04df260ee6e879e6"), ("LGPL-2.1-only", "copyleft", "3054b3781b1af43f906dc753acad15ee"),
+    ("LGPL-3.0-only", "copyleft", "b31b7335bc37919e8cdd79154e04d88d"), ("MPL-1.1", "copyleft", "a708f02208e9c42d3644490185833425"),
+    ("MPL-2.0", "copyleft", "35fb4d2625087f7fd780039aa7b4ebb2"),
+)
+
+# Lines that begin with a notice that names a holder or a year are left out; a line of a text
+# that was wrapped before the word "copyright" stays.
+_COPYRIGHT_LINE = r"(?m)^[\t ]*(?:copyright\b[^\n]*(?:\(c\)|©|[0-9]{4}|[\[<])|\(c\)|©)[^\n]*(?:\n|$)"
 _OTHER = r"[^\p{L}\p{N}]+"
 LITERAL_ROWS = 256
 
@@ -79,7 +96,9 @@ def known_licenses(spark: SparkSession) -> DataFrame:
     """digest, license, kind of the licences above (one row per digest)."""
     rows = [F.struct(F.lit(a).alias("license"), F.lit(b).alias("kind"), F.lit(c).alias("text")) for a, b, c in KNOWN]
     table = spark.range(1).select(F.inline(F.array(*rows)))
-    return table.select(F.md5(canonical(F.col("text"))).alias("digest"), "license", "kind").groupBy("digest").agg(F.min("license").alias("license"), F.min("kind").alias("kind"))
+    whole = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(c).alias("digest"), F.lit(a).alias("license"), F.lit(b).alias("kind")) for a, b, c in DIGESTS])))
+    known = table.select(F.md5(canonical(F.col("text"))).alias("digest"), "license", "kind").unionByName(whole)
+    return known.groupBy("digest").agg(F.min("license").alias("license"), F.min("kind").alias("kind"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,7 +110,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
 
     ``known`` has (digest, license, kind), one row per digest.  Up to LITERAL_ROWS rows
     (counted first) lines are looked up in place; beyond, lines are joined on the digest
-    like whole texts and what hits comes back to its row.  Null or empty text: the digest of '', no licence.  Null
+    like whole texts and what hits comes back to its row.  Very long texts are read whole.  Null or empty text: the digest of '', no licence.  Null
     or repeated doc_id: each row is answered on its own.  Empty table: no rows.
     """
     known = known_licenses(docs.sparkSession) if known is None else known.select("digest", "license", "kind")
@@ -116,6 +135,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scan_licenses`` of all documents with the licences known here."""
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
@@ -133,7 +153,10 @@ def _quoted(text: str) -> str:
 
 OP4_SQL = f"""
 WITH given (license, kind, text) AS (VALUES {", ".join("(" + ", ".join(map(_quoted, row)) + ")" for row in KNOWN)}
-), known AS (SELECT md5({_sql_canonical("text")}) AS digest, min(license) AS license, min(kind) AS kind FROM given GROUP BY 1
+), digests (license, kind, digest) AS (VALUES {", ".join("(" + ", ".join(map(_quoted, row)) + ")" for row in DIGESTS)}
+), known AS (
+  SELECT digest, min(license) AS license, min(kind) AS kind
+  FROM (SELECT md5({_sql_canonical("text")}) AS digest, license, kind FROM given UNION ALL SELECT digest, license, kind FROM digests) GROUP BY 1
 ), doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
 ), line AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM doc
 ), hit AS (

@@ -101,7 +101,8 @@ def drop_site_lines(rows: DataFrame, host: Column, text: Column, ratio: float =
 def dedup_page_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, host, n_lines, n_dropped, kept_text of every page of (page_id, url, html).
 
-    A line is the text between block elements.  Null html: no lines, kept_text ''.  Null
+    A line is the text between block elements; very long pages are read whole.  A line on
+    exactly ``ratio`` of the host's pages stays; repeated rows count as so many pages.  Null html: no lines, kept_text ''.  Null
     url: host ''.  Null or repeated page_id: the row is treated like any other.  Empty
     table: no rows.  Other columns are not read.
     """
@@ -134,6 +135,7 @@ def dedup_document_lines(docs: DataFrame, ratio: float = DOCUMENT_RATIO, min_pag
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``dedup_page_lines`` of all pages."""
     return dedup_page_lines(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 

@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import broadcast_if_small, cut, release, set_digests, slices, text_sets, texts
+from tidemark.llm.common import broadcast_if_small, cut, release, set_digests, slices, text_key, text_sets, texts, without
 from tidemark.llm.components import linked_components, overlap_links
 from tidemark.llm.incidence import FLUSH_ENTRIES, heavy_candidates, heavy_columns, shared_columns
 
@@ -39,14 +40,14 @@ def _distinct(digests: np.ndarray, real: np.ndarray) -> np.ndarray:
 
 
 def _measure(batches):
-    """doc_id, set size and set digest of each document; besides, shingles that are frequent
-    in a block of entries, as (null, how often, shingle, true)."""
-    names = ["doc_id", "n_shingles", "node", "heavy"]
+    """doc_id, text key, set size and set digest of each document; besides, shingles that are
+    frequent in a block of entries, as (null, null, how often, shingle, true)."""
+    names = ["doc_id", "key", "n_shingles", "node", "heavy"]
 
     def frequent(parts):
         columns, counts = heavy_candidates(parts)
         nothing = pa.nulls(len(columns), pa.int64())
-        return pa.RecordBatch.from_arrays([nothing, pa.array(counts, pa.int64()), pa.array(columns.view(np.int64)), pa.array(np.ones(len(columns), bool))], names=names)
+        return pa.RecordBatch.from_arrays([nothing, nothing, pa.array(counts, pa.int64()), pa.array(columns.view(np.int64)), pa.array(np.ones(len(columns), bool))], names=names)
 
     parts, held = [], 0
     for ids, nulls, offsets, data in slices(batches):
@@ -55,7 +56,10 @@ def _measure(batches):
         keep = _distinct(digests, (sizes > 0) & ~nulls)
         parts.append(flat[np.repeat(keep, sizes)])
         held += len(parts[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(sizes, type=pa.int64()), pa.array(digests, mask=sizes == 0), pa.array(np.zeros(len(ids), bool))], names=names)
+        raw = memoryview(data)
+        # Spark's xxhash64 of the text: the same digest with this seed.
+        keys = [xxhash.xxh64_intdigest(raw[a:b], seed=42) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(sizes, type=pa.int64()), pa.array(digests, mask=sizes == 0), pa.array(np.zeros(len(ids), bool))], names=names)
         if held >= FLUSH_ENTRIES:
             yield frequent(parts)
             parts, held = [], 0
@@ -115,9 +119,14 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     doc_id that occurs again, with the same or another text: every row is returned and
     is placed by its own text.  Very long texts are read whole.  Empty table: no rows.  Other columns are not read.
     """
+    return _classes(docs, id_col, text_col, threshold).drop("key")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: tuple[int, int]) -> DataFrame:
+    """As above, with the ``text_key`` of each row."""
     num, den = threshold
     source = texts(docs, id_col, text_col)
-    read = cut(source.mapInArrow(_measure, "doc_id long, n_shingles long, node long, heavy boolean"))
+    read = cut(source.mapInArrow(_measure, "doc_id long, key long, n_shingles long, node long, heavy boolean"))
     measured = read.where("not heavy").drop("heavy")
     total = measured.agg(F.sum("n_shingles")).first()[0] or 0
     heavy = heavy_columns(read.where("heavy").select(F.col("node").alias("column"), F.col("n_shingles").alias("n")), total)
@@ -138,10 +147,34 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     linked = linked.join(broadcast_if_small(lowest), "root").select("node", "lowest")
     classes = per_node.join(linked, "node", "left").where("n > 1 or lowest is not null").select("node", F.coalesce("lowest", "low").alias("lowest"))
     return measured.join(broadcast_if_small(classes), "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "doc_id")).alias("component_id")
+        "doc_id", "key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "doc_id")).alias("component_id")
     )
 
 
+def keep_one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """``docs`` (all columns) with one row of each class of near duplicates: the one with the
+    smallest id, and of rows that share this id the text with the smallest hash, once.
+
+    Rows without words are classes of their own and stay; so do rows with a null id.
+    Repeated rows count as copies: one stays, unless they have no words.  Empty table: no
+    rows.  Very long texts are compared whole.
+    """
+    classes = cut(_classes(docs, id_col, text_col, threshold).where("doc_id is not null and n_shingles > 0"))
+    rows = classes.groupBy("doc_id", "key", "component_id").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.where("doc_id = component_id").groupBy(F.col("component_id").alias("__class")).agg(F.min("key").alias("__first"))
+    several = rows.where("doc_id = component_id").groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("doc_id").alias("__class"))
+    # Ids that occur again are few; only they need more than a comparison with the class.
+    again = broadcast_if_small(several.join(first, "__class"))
+    rows = rows.join(again, F.col("component_id") == F.col("__class"), "left")
+    out = without(docs, rows.where((F.col("doc_id") != F.col("component_id")) | (F.col("key") > F.col("__first"))).select("doc_id", "key"), id_col, text_col)
+    twice = broadcast_if_small(rows.where("doc_id = component_id and key = __first and n > 1").select(F.col("doc_id").alias("__class"), F.col("key").alias("__first")))
+    if twice.isEmpty():
+        return out
+    marked = out.join(twice, (F.col(f"`{id_col}`").cast("long") == F.col("__class")) & (text_key(F.col(f"`{text_col}`")) == F.col("__first")), "left")
+    once = marked.where("__class is not null").dropDuplicates(["__class", "__first"])
+    return marked.where("__class is null").unionByName(once).drop("__class", "__first")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ngram_jaccard_components`` of all documents."""
     return ngram_jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -143,7 +143,8 @@ def quality_scores(docs: DataFrame, train_labels: DataFrame, id_col: str = "doc_
     """doc_id, score, predicted of every row of ``docs``; ``train_labels`` has (doc_id, y).
 
     The statistics are computed once and kept in the checkpoint folder (15 numbers a
-    row); only they meet the labels, texts are never shuffled.  Null or empty text: the
+    row); only they meet the labels, texts are never shuffled.  Very long texts are read
+    whole.  Null or empty text: the
     vector of zeros, scored like any other.  Null doc_id: scored, never trained on.
     Repeated rows: each is scored and trained on.  Labels that are null or neither 0 nor
     1 are not used.  With no labels of a class every score is the share of label 1
@@ -161,6 +162,7 @@ def quality_scores(docs: DataFrame, train_labels: DataFrame, id_col: str = "doc_
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``quality_scores`` of all documents, learned from four fifths of the labels."""
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out).select("doc_id", F.col("quality").alias("y"))
     out = quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels)
