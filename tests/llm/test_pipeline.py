@@ -85,3 +85,42 @@ def test_boilerplate_goes_in_every_source(spark):
     got = [r.text.split("\n") for r in pipeline.drop_source_lines(spark, spark.createDataFrame(rows, COLUMNS).repartition(3), SF).collect()]
     assert not [t for t in got if set(t) & set(planted.values())]
     assert sum(rare in t for t in got) == 8
+
+
+def stage_of(name):
+    return dict(pipeline.STAGES)[name]
+
+
+def test_stages_take_awkward_rows(spark, tmp_path):
+    """Null, empty and very long texts, null and repeated ids, repeated rows, extra columns
+    with names that clash, and an empty table."""
+    rng = random.Random(31)
+    item = sentence(rng, 20)
+    base = sentence(rng, 40)
+    rows = [
+        (1, base), (2, base), (2, "another text " + sentence(rng, 30)), (3, f"{sentence(rng, 30)} {item}"), (3, sentence(rng, 40)), (4, None), (5, ""), (5, ""), (6, "  \n "),
+        (None, base), (None, f"{item} {sentence(rng, 20)}"), (7, sentence(rng, 120_000)), (8, base + " more"), (1, base), (9, "same id " + sentence(rng, 30)),
+    ]
+    rows.append(rows[-1])
+    full = [(i, t, "en", None if i == 6 else "s", None if t is None else len(t), 1, 2, "x", 3) for i, t in rows]
+    schema = COLUMNS + ", node int, n int, key string, w int"
+    spark.createDataFrame([(i, i % 2, 0) for i in range(9)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(full, schema).repartition(3)
+    kept = {}
+    for name, stage in pipeline.STAGES:
+        for table in (docs, docs.limit(0)):
+            out = stage(spark, table, str(tmp_path))
+            assert out.columns == docs.columns or name == "byte-level BPE"
+            kept[name] = kept.get(name) or sorted((str(r.doc_id), getattr(r, "text", None) or "") for r in out.collect())
+            assert table is docs or out.count() == 0
+    whole = sorted((str(i), t or "") for i, t in rows)
+    assert kept["toxicity"] == whole and [i for i, _ in kept["line dedup"]] == [i for i, _ in whole]
+    # Copies of 1 go (8 is a near one), once per row; ids that occur again keep their other texts.
+    gone = [("1", base), ("2", base), ("8", base + " more"), ("9", rows[-1][1])]
+    left = list(whole)
+    for g in gone:
+        left.remove(g)
+    assert kept["n-gram Jaccard join"] == left
+    assert kept["benchmark decontamination"] == [r for r in whole if item not in r[1]]
+    assert len(kept["byte-level BPE"]) == len(rows)

@@ -119,11 +119,11 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     doc_id that occurs again, with the same or another text: every row is returned and
     is placed by its own text.  Very long texts are read whole.  Empty table: no rows.  Other columns are not read.
     """
-    return _classes(docs, id_col, text_col, threshold).drop("key")
+    return _classes(docs, id_col, text_col, threshold).drop("key", "class")
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: tuple[int, int]) -> DataFrame:
-    """As above, with the ``text_key`` of each row."""
+    """As above, with the ``text_key`` of each row and the number of its class."""
     num, den = threshold
     source = texts(docs, id_col, text_col)
     read = cut(source.mapInArrow(_measure, "doc_id long, key long, n_shingles long, node long, heavy boolean"))
@@ -144,10 +144,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: tuple[int,
     per_node = measured.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
     linked = labels.join(per_node, "node")
     lowest = linked.groupBy("root").agg(F.min("low").alias("lowest"))
-    linked = linked.join(broadcast_if_small(lowest), "root").select("node", "lowest")
-    classes = per_node.join(linked, "node", "left").where("n > 1 or lowest is not null").select("node", F.coalesce("lowest", "low").alias("lowest"))
+    linked = linked.join(broadcast_if_small(lowest), "root").select("node", "root", "lowest")
+    classes = per_node.join(linked, "node", "left").where("n > 1 or lowest is not null").select("node", "root", F.coalesce("lowest", "low").alias("lowest"))
     return measured.join(broadcast_if_small(classes), "node", "left").select(
-        "doc_id", "key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "doc_id")).alias("component_id")
+        "doc_id", "key", "n_shingles", F.coalesce("root", "node").alias("class"), F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "doc_id")).alias("component_id")
     )
 
 
@@ -160,19 +160,18 @@ def keep_one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rows.  Very long texts are compared whole.
     """
     classes = cut(_classes(docs, id_col, text_col, threshold).where("doc_id is not null and n_shingles > 0"))
-    rows = classes.groupBy("doc_id", "key", "component_id").agg(F.count(F.lit(1)).alias("n"))
-    first = rows.where("doc_id = component_id").groupBy(F.col("component_id").alias("__class")).agg(F.min("key").alias("__first"))
-    several = rows.where("doc_id = component_id").groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("doc_id").alias("__class"))
+    rows = classes.groupBy("doc_id", "key", "class", "component_id").agg(F.sum(F.lit(1)).alias("n"))
+    lowest = rows.where("doc_id = component_id").groupBy(F.col("class").alias("__class")).agg(F.min("key").alias("__first"), F.sum("n").alias("rows"))
     # Ids that occur again are few; only they need more than a comparison with the class.
-    again = broadcast_if_small(several.join(first, "__class"))
-    rows = rows.join(again, F.col("component_id") == F.col("__class"), "left")
+    again = broadcast_if_small(lowest.where("rows > 1").drop("rows"))
+    rows = rows.join(again, F.col("class") == F.col("__class"), "left")
     out = without(docs, rows.where((F.col("doc_id") != F.col("component_id")) | (F.col("key") > F.col("__first"))).select("doc_id", "key"), id_col, text_col)
-    twice = broadcast_if_small(rows.where("doc_id = component_id and key = __first and n > 1").select(F.col("doc_id").alias("__class"), F.col("key").alias("__first")))
+    twice = broadcast_if_small(rows.where("doc_id = component_id and key = __first and n > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__first")))
     if twice.isEmpty():
         return out
-    marked = out.join(twice, (F.col(f"`{id_col}`").cast("long") == F.col("__class")) & (text_key(F.col(f"`{text_col}`")) == F.col("__first")), "left")
-    once = marked.where("__class is not null").dropDuplicates(["__class", "__first"])
-    return marked.where("__class is null").unionByName(once).drop("__class", "__first")
+    marked = out.join(twice, (F.col(f"`{id_col}`").cast("long") == F.col("__id")) & (text_key(F.col(f"`{text_col}`")) == F.col("__first")), "left")
+    once = marked.where("__id is not null").dropDuplicates(["__id", "__first"])
+    return marked.where("__id is null").unionByName(once).drop("__id", "__first")
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
