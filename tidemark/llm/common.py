@@ -18,10 +18,14 @@ _U64 = np.uint64
 
 # --- lineage -------------------------------------------------------------------------
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where none is named."""
+    """The shared folder that the session names.  Where none is named, one of our own in
+    local mode, as in tests; on a cluster executors could not see it, so that is an error."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
