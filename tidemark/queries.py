@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable, Iterable
 from urllib.parse import urlparse
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.adaptive.statistics import column_sample, common_values, histogram
 from tidemark.engine import Engine
-from tidemark.errors import ConflictError
+from tidemark.errors import ConflictError, TidemarkError
 from tidemark.plans.parser import parse
 from tidemark.streaming.feed import ChangeFeed
 from tidemark.streaming.projections import maintain_table, maintained_rows
@@ -24,10 +26,15 @@ REFERENCES = {"nation": {"n_regionkey": ("region", "r_regionkey")}, "customer":
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A folder for a database of a query: inside the shared checkpoint folder if that is a
-    file system path, else a temporary one (local mode)."""
+    """A folder for a database of a query, removed when the process ends: inside the shared
+    checkpoint folder if that is a file system path; a temporary one in local mode only."""
     shared = urlparse(spark.conf.get("spark.checkpoint.dir", None) or "")
-    return tempfile.mkdtemp(prefix="tidemark-", dir=shared.path if shared.path and shared.scheme in ("", "file") else None)
+    inside = shared.path if shared.path and shared.scheme in ("", "file") else None
+    if inside is None and not spark.sparkContext.master.startswith("local"):
+        raise TidemarkError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    folder = tempfile.mkdtemp(prefix="tidemark-", dir=inside)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def open_tables(spark: SparkSession, sf_dir: str, names: Iterable[str] = KEYS) -> Engine:
