@@ -118,6 +118,8 @@ def linked_components(
         rest = cut(rest.coalesce(n).join(labels, "node", "left").coalesce(n))
         many = rest.groupBy("key").agg(F.min(F.coalesce("root", "node")).alias("lo"), F.max(F.coalesce("root", "node")).alias("hi"))
         left = cut(rest.join(many.where("lo != hi").select("key"), "key", "left_semi").coalesce(n))
+        if left.isEmpty():
+            return labels
     groups = left.select("key", "node", "n", F.coalesce("root", "node").alias("group"))
     more = cut(_block_links(groups, rows, num, den, n).coalesce(n))
     if more.isEmpty():
