@@ -56,9 +56,26 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
-def overlap_links(threshold_num: int, threshold_den: int) -> Callable:
-    """Arrow map over (a, b, cols_a, cols_b): keeps pairs whose sets of 64-bit columns have
-    ``den * |both| >= num * |either|`` given sizes n_a and n_b."""
+def packed_sets(flat: np.ndarray, sizes: np.ndarray, width: int = 8) -> pa.Array:
+    """Sorted sets of 64-bit columns, laid end to end, as binary values of the ``width`` high
+    bytes of each column."""
+    raw = np.ascontiguousarray(flat.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, 8 - width :])
+    offsets = np.concatenate([[0], np.cumsum(sizes)]) * width
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def unpacked_set(blob, width: int) -> np.ndarray:
+    if width == 8:
+        return np.frombuffer(blob, dtype="<u8")
+    raw = np.frombuffer(blob, dtype=np.uint8).reshape(-1, width)
+    out = np.zeros((len(raw), 8), dtype=np.uint8)
+    out[:, 8 - width :] = raw
+    return out.reshape(-1).view("<u8")
+
+
+def overlap_links(threshold_num: int, threshold_den: int, width: int = 8) -> Callable:
+    """Arrow map over (a, b, cols_a, cols_b): keeps pairs whose sets of columns (``width``
+    bytes each) have ``den * |both| >= num * |either|`` given sizes n_a and n_b."""
 
     def run(batches):
         for batch in batches:
@@ -69,8 +86,8 @@ def overlap_links(threshold_num: int, threshold_den: int) -> Callable:
             for i, (x, y) in enumerate(zip(batch.column("cols_a"), batch.column("cols_b"), strict=True)):
                 key = a[i].as_py()
                 if key != held:
-                    held, left = key, np.frombuffer(x.as_buffer(), dtype="<u8")
-                right = np.frombuffer(y.as_buffer(), dtype="<u8")
+                    held, left = key, unpacked_set(x.as_buffer(), width)
+                right = unpacked_set(y.as_buffer(), width)
                 at = np.searchsorted(left, right)
                 at[at == len(left)] = 0
                 both = int((left[at] == right).sum()) if len(left) else 0
@@ -82,11 +99,11 @@ def overlap_links(threshold_num: int, threshold_den: int) -> Callable:
 
 
 def linked_components(
-    rows: DataFrame, keys: DataFrame, verify: Callable[[DataFrame, int], DataFrame], num: int, den: int, pivot_rounds: int = 2
+    rows: DataFrame, keys: DataFrame, verify: Callable[[DataFrame, int], DataFrame], num: int, den: int, width: int = 8, pivot_rounds: int = 2
 ) -> DataFrame:
     """Components (node, root) of the pairs that share a key and pass ``verify``.
 
-    ``rows`` has (node, n, cols): one row per distinct set, cols its columns, sorted.  ``keys`` has (key, node, n):
+    ``rows`` has (node, n, cols): one row per distinct set, cols its columns (``packed_sets``).  ``keys`` has (key, node, n):
     any two nodes that may link share a key.  ``verify`` takes distinct pairs (a, b)
     and a number of tasks and returns those that link.
 
@@ -121,13 +138,13 @@ def linked_components(
         if left.isEmpty():
             return labels
     groups = left.select("key", "node", "n", F.coalesce("root", "node").alias("group"))
-    more = cut(_block_links(groups, rows, num, den, n).coalesce(n))
+    more = cut(_block_links(groups, rows, num, den, width, n).coalesce(n))
     if more.isEmpty():
         return labels
     return connected_components(links.unionByName(more))
 
 
-def _block_links(groups: DataFrame, rows: DataFrame, num: int, den: int, n: int) -> DataFrame:
+def _block_links(groups: DataFrame, rows: DataFrame, num: int, den: int, width: int, n: int) -> DataFrame:
     """Links (a, b), as a spanning forest per block, between nodes of different groups that
     share a key; ``groups`` has (key, node, n, group), ``rows`` (node, cols).
 
@@ -155,12 +172,12 @@ def _block_links(groups: DataFrame, rows: DataFrame, num: int, den: int, n: int)
     sides = tasks.select("task", F.col("left").alias("id"), F.lit(0).alias("side")).unionByName(tasks.where("left <> right").select("task", F.col("right").alias("id"), F.lit(1).alias("side")))
     dealt = members.select("id", "node", "n").join(rows.select("node", "cols"), "node").coalesce(n).join(sides, "id").coalesce(n).select("task", "side", "node", "n", "cols")
     dealt = dealt.repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task")
-    return dealt.mapInArrow(_block_products(num, den), "a long, b long")
+    return dealt.mapInArrow(_block_products(num, den, width), "a long, b long")
 
 
-def _block_products(num: int, den: int) -> Callable:
+def _block_products(num: int, den: int, width: int) -> Callable:
     def product(records):
-        sides, nodes, sizes, cols = zip(*((r["side"], r["node"], r["n"], np.frombuffer(r["cols"], dtype="<u8")) for r in records), strict=True)
+        sides, nodes, sizes, cols = zip(*((r["side"], r["node"], r["n"], unpacked_set(r["cols"], width)) for r in records), strict=True)
         side, node, n = np.array(sides), np.array(nodes, dtype=np.int64), np.array(sizes, dtype=np.int64)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         alone = not len(right)  # a block that meets itself

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import SHINGLE_WORDS, _splitmix, broadcast_if_small, cut, mix, release, rolling_hashes, set_digests, slices, sorted_sets, span_hashes, texts, word_spans
-from tidemark.llm.components import linked_components, overlap_links
+from tidemark.llm.components import linked_components, overlap_links, packed_sets
 from tidemark.llm.incidence import FLUSH_ENTRIES, MARKED, _runs, heavy_candidates, heavy_columns, shared_columns
 
 THRESHOLD = (4, 5)
@@ -37,6 +37,7 @@ WINNOW = 19  # a run of WINDOW + WINNOW - 1 words that two texts share has a win
 RECALL, MAX_HASHES = 0.99, 24  # of lines
 WINDOW_RECALL, WINDOW_HASHES = 0.95, 6  # of windows; equal ones always meet
 WINDOW_BLOCK = 1 << 14
+SET_BYTES = 6  # of each shingle hash that the sets of two candidates are compared by
 SIEVE_BITS = 25  # a bitmap of 4 MB
 LINE, PASSAGE = 0, 1
 _NONE = np.zeros(0, np.uint64)
@@ -271,9 +272,7 @@ def _sets(sieve, min_words: int):
                 keep = (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
                 keep[keep] = np.isin(np.flatnonzero(keep), np.flatnonzero(keep)[np.unique(nodes[keep], return_index=True)[1]])
                 p, nodes = p.pick(keep), nodes[keep]
-                stops = np.cumsum(p.sizes)
-                blobs = [p.flat[a:b].astype("<u8").tobytes() for a, b in zip((stops - p.sizes).tolist(), stops.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(p.sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "n", "cols"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(p.sizes, pa.int64()), packed_sets(p.flat, p.sizes, SET_BYTES)], names=["node", "n", "cols"])
         release()
 
     return run
@@ -364,9 +363,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def verify(pairs: DataFrame, tasks: int) -> DataFrame:
         both = pairs.join(sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("cols").alias("cols_b")), "b").coalesce(tasks)
         both = both.join(sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("cols").alias("cols_a")), "a")
-        return both.select("a", "b", "n_a", "n_b", "cols_a", "cols_b").mapInArrow(overlap_links(num, den), "a long, b long")
+        return both.select("a", "b", "n_a", "n_b", "cols_a", "cols_b").mapInArrow(overlap_links(num, den, SET_BYTES), "a long, b long")
 
-    labels = cut(linked_components(sets, candidates.select(F.explode(F.array_distinct("keys")).alias("key"), "node", "n"), verify, num, den))
+    labels = cut(linked_components(sets, candidates.select(F.explode(F.array_distinct("keys")).alias("key"), "node", "n"), verify, num, den, SET_BYTES))
 
     # Places of paragraphs that are equal to others, or in one class with others.
     marked_value = (heavy[1][0], np.full(len(heavy[1][0]), MARKED))
