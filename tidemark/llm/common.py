@@ -67,8 +67,21 @@ def without(docs: DataFrame, leaving: DataFrame, id_col: str = "doc_id", text_co
 
 
 # --- documents -----------------------------------------------------------------------
+ARROW_BYTES = "8m"
+_ARROW, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """A lower limit for the bytes of a batch on its way to a Python worker than Spark's
+    default, unless the session has one of its own: JVM and worker hold a batch at once,
+    and twice while it grows."""
+    if spark.conf.get(_ARROW, _ARROW_DEFAULT) == _ARROW_DEFAULT:
+        spark.conf.set(_ARROW, ARROW_BYTES)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads, under fixed names; a null text counts as empty."""
+    bound_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),

@@ -52,16 +52,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def template_hash(word: Column) -> Column:
+def template_hash(word: Column, literal: Column | None = None) -> Column:
     """1 for a number, 2 for a unit, 3 for a name (a capital, then small letters), else the
-    hash of the word in lower case."""
+    hash of the word in lower case (``literal`` if it is at hand)."""
     low = F.lower(word)
+    literal = _literal_hash(word) if literal is None else literal
     return (
-        F.when(low.isin(*UNITS), UNIT)
-        .when(low.isin(*NUMBER_WORDS), NUMBER)
+        F.when(low.isin(*UNITS, *NUMBER_WORDS), F.when(low.isin(*UNITS), UNIT).otherwise(NUMBER))
+        .when((word >= "a") & (word < "{"), literal)  # a to z first: neither pattern can match
         .when(word.rlike(_NAME), NAME)
         .when(word.rlike(_NUMBER), NUMBER)
-        .otherwise(F.xxhash64(low))
+        .otherwise(literal)
         .cast("long")
     )
 
@@ -70,18 +71,26 @@ def _literal_hash(word: Column) -> Column:
     return F.xxhash64(F.lower(word))
 
 
-def _window_keys(h: str, plain: str, k: int, min_literals: int) -> Column:
-    """Key of each window of k words, in order; none if there are fewer words: the hash of
-    its template words, or of the words themselves if fewer than ``min_literals`` of them
-    are no slots."""
-    at = F.sequence(F.lit(0), F.size(h) - k)
+def _hashed(df: DataFrame, w: str, keep: list[str]) -> DataFrame:
+    """``keep``, and of the words ``w``: l, hashes of them; h, template hashes; slots, a byte
+    for each, 1 for a slot."""
+    out = df.select(*keep, w, F.transform(w, _literal_hash).alias("l"))
+    out = out.select(*keep, "l", F.transform(w, lambda x, i: template_hash(x, F.get("l", i))).alias("h"))
+    slots = F.array_join(F.transform("h", lambda x, i: F.when(x == F.get("l", i), "0").otherwise("1")), "")
+    return out.select(*keep, "l", "h", slots.cast("binary").alias("slots"))
+
+
+def _window_keys(k: int, min_literals: int) -> Column:
+    """Key of each window of k words of ``_hashed``, in order; none if there are fewer words:
+    the hash of its template words, or of the words themselves if fewer than
+    ``min_literals`` of them are no slots."""
+    at = F.sequence(F.lit(1), F.size("h") - k + 1)
 
     def key(i):
-        own, words = [F.get(F.col(h), i + j) for j in range(k)], [F.get(F.col(plain), i + j) for j in range(k)]
-        literals = sum((a == b).cast("int") for a, b in zip(own, words, strict=True))
-        return F.when(literals >= min_literals, F.xxhash64(*own)).otherwise(F.xxhash64(F.lit(k), *words))
+        literals = F.length(F.replace(F.substring("slots", i, F.lit(k)).cast("string"), F.lit("1"), F.lit("")))
+        return F.when(literals >= min_literals, F.xxhash64(F.slice("h", i, k))).otherwise(F.xxhash64(F.lit(k), F.slice("l", i, k)))
 
-    return F.when(F.size(h) >= k, F.transform(at, key)).otherwise(F.array().cast("array<long>"))
+    return F.when(F.size("h") >= k, F.transform(at, key)).otherwise(F.array().cast("array<long>"))
 
 
 def _is_slot(value: Column) -> Column:
@@ -139,16 +148,16 @@ def _passages(docs, benchmark, id_col, text_col, item_col, window, min_literals,
     read = read.withColumn("key", text_key(F.col("text"))).withColumn("row", F.xxhash64("doc_id", "key"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null").distinct()
     items = items.withColumn("iw", words(F.col("text"))).where(F.size("iw") > 0)
-    items = cut(items.select("item_id", F.xxhash64("item_id", "text").alias("item"), F.transform("iw", F.lower).alias("low"), F.transform("iw", template_hash).alias("ih"), F.transform("iw", _literal_hash).alias("il")))
-    folded = items.withColumn("ih", F.transform("low", template_hash))
-    lengths = [r[0] for r in items.select(F.least(F.size("ih"), F.lit(window)).alias("k")).distinct().orderBy("k").collect()]  # at most ``window`` rows
-    hashed = read.withColumn("w", words(F.col("text"))).select("row", F.transform("w", template_hash).alias("h"), F.transform("w", _literal_hash).alias("l"))
+    items = cut(items.select("item_id", F.xxhash64("item_id", "text").alias("item"), "iw", F.transform("iw", F.lower).alias("low")))
+    indexed = cut(_hashed(items, "iw", ["item"]).unionByName(_hashed(items, "low", ["item"])))
+    lengths = [r[0] for r in items.select(F.least(F.size("iw"), F.lit(window)).alias("k")).distinct().orderBy("k").collect()]  # at most ``window`` rows
+    hashed = _hashed(read.withColumn("w", words(F.col("text"))), "w", ["row"])
     matched = None
     for k in lengths:
         need = min(min_literals, k)
-        own = items.unionByName(folded).where(F.least(F.size("ih"), F.lit(window)) == k)
-        own = own.select("item", F.size("ih").alias("n_item"), F.posexplode(_window_keys("ih", "il", k, need)).alias("ipos", "key")).distinct()
-        here = hashed.select("row", F.posexplode(_window_keys("h", "l", k, need)).alias("pos", "key"))
+        own = indexed.where(F.least(F.size("h"), F.lit(window)) == k)
+        own = own.select("item", F.size("h").alias("n_item"), F.posexplode(_window_keys(k, need)).alias("ipos", "key")).distinct()
+        here = hashed.select("row", F.posexplode(_window_keys(k, need)).alias("pos", "key"))
         hits = here.join(F.broadcast(own) if _small(own, BROADCAST_ROWS) else own, "key")
         hits = hits.select("row", "item", "n_item", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", F.lit(k).alias("k"))
         matched = hits if matched is None else matched.unionByName(hits)
@@ -165,7 +174,7 @@ def _passages(docs, benchmark, id_col, text_col, item_col, window, min_literals,
     runs = lines.groupBy("row", "item", "n_item", "passage").agg(F.array_sort(F.collect_list(covers)).alias("lines"))
     runs = runs.withColumn("covered", F.size(F.array_distinct(F.flatten(F.col("lines.p")))))
     runs = runs.where((F.col("covered") >= F.lit(min_coverage) * F.col("n_item")) | (F.col("covered") >= min_words))
-    runs = cut(runs.join(items.select("item", "item_id", "low", "ih"), "item"))
+    runs = cut(runs.join(items.select("item", "item_id", "low", F.transform("iw", lambda x: template_hash(x)).alias("ih")), "item"))
     both = read.join(F.broadcast(runs) if _small(runs, BROADCAST_PASSAGES) else runs, "row").withColumn("w", words(F.col("text")))
     word = lambda p, d: F.struct(F.get("low", p).alias("i"), F.lower(F.get("w", p + d)).alias("d"), _is_slot(F.get("ih", p)).alias("slot"))
     pairs = F.flatten(F.transform("lines", lambda x: F.transform(x["p"], lambda p: word(p, x["shift"]))))

@@ -31,6 +31,7 @@ from tidemark.llm.common import grouped, mix, pack, release, slices, unpack
 FLUSH_ENTRIES = 5 << 18
 BUCKET_ENTRIES = 5 << 18
 FREQUENT = 16
+BATCH_BYTES = 4 << 20
 MARKED = int(np.iinfo(np.int64).min)  # stands for the value of a marked column
 _MARKS, _DIRECT, _ENTRIES = 0, 1, 2
 _PACKED = ("rows", "sizes", "runs", "columns", "owners", "extras", "values")
@@ -111,9 +112,7 @@ def _send(n_buckets: int, read: Callable, heavy: tuple[np.ndarray, np.ndarray])
             at[at == len(heavy_of)] = 0
             known = heavy_of[at] == columns
             if known.any():
-                out = list(_direct(n_buckets, rows, sizes, owners[known], columns[known], extras[known] if len(extras) else extras, heavy_values[at[known]]))
-                for a in range(0, len(out), 256):
-                    yield _batch(out[a : a + 256])
+                yield from _batches(_direct(n_buckets, rows, sizes, owners[known], columns[known], extras[known] if len(extras) else extras, heavy_values[at[known]]))
                 columns, owners, extras = columns[~known], owners[~known], extras[~known] if len(extras) else extras
             del at, known
         order = np.argsort(columns)
@@ -121,17 +120,14 @@ def _send(n_buckets: int, read: Callable, heavy: tuple[np.ndarray, np.ndarray])
         extras = extras[order] if len(extras) else extras
         del order
         edges = _edges(columns, n_buckets)
-        out = []
-        for bucket, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-            if a == b:
-                continue
-            named, place = np.unique(owners[a:b], return_inverse=True)  # the rows that come here
-            out.append((bucket, _ENTRIES, pack(rows[named].view(np.uint64), 8), pack(sizes[named], 4), b"", pack(columns[a:b], 8), pack(place, 4), pack(extras[a:b], 8) if len(extras) else b"", b""))
-            if len(out) >= 64:
-                yield _batch(out)
-                out = []
-        if out:
-            yield _batch(out)
+
+        def records():
+            for bucket, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                if a < b:
+                    named, place = np.unique(owners[a:b], return_inverse=True)  # the rows that come here
+                    yield bucket, _ENTRIES, pack(rows[named].view(np.uint64), 8), pack(sizes[named], 4), b"", pack(columns[a:b], 8), pack(place, 4), pack(extras[a:b], 8) if len(extras) else b"", b""
+
+        yield from _batches(records())
 
     def run(batches):
         parts, held = [], 0
@@ -232,12 +228,14 @@ def _reply(n_blocks: int, value: str, each_entry: bool) -> Callable:
 
 
 def _batches(records: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    out = []
+    """Records in batches of some BATCH_BYTES."""
+    out, held = [], 0
     for record in records:
         out.append(record)
-        if len(out) >= 64:
+        held += sum(map(len, record[2:]))
+        if held >= BATCH_BYTES:
             yield _batch(out)
-            out = []
+            out, held = [], 0
     if out:
         yield _batch(out)
 

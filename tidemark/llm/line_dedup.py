@@ -15,7 +15,8 @@ from tidemark.llm.ngram_join import ngram_jaccard_components
 RATIO = 0.1
 DOCUMENT_RATIO = 0.01  # of classes of near copies, so what repeats is no copy
 MIN_PAGES = 3
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 100_000  # hosts, and
+BROADCAST_LINES = 1_000_000  # digests in all, eight bytes each
 WHOLE_ROWS = 1_000_000  # of one integer each
 
 # Markup that carries no text, elements that end a line, common entities.
@@ -80,14 +81,15 @@ def drop_site_lines(rows: DataFrame, host: Column, text: Column, ratio: float =
 
     ``rows`` meet the host's short list of digests and filter their own lines, so text is
     neither exploded into the result nor gathered again; beyond BROADCAST_ROWS hosts with
-    such lines the join is shuffled on the host, and adaptive execution splits a hot one.
+    such lines, or BROADCAST_LINES lines, the join is shuffled on the host, and adaptive execution splits a hot one.
     Null host: a host of its own.  Null text: no lines.  Blank lines are kept and not
     counted.  Equal rows count as so many pages, or as ``classes`` says of their doc_id.
     """
     named = rows.select(F.struct("*").alias("row"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(text, F.lit("")).alias("text"))
     pages = named.select("host", "text") if classes is None else named.select("host", "text", "row.doc_id")
     drop = cut(boilerplate_lines(pages, ratio, min_pages, classes))
-    small = drop.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    size = drop.agg(F.count(F.lit(1)).alias("hosts"), F.coalesce(F.sum(F.size("drop")), F.lit(0)).alias("lines")).first()
+    small = size["hosts"] <= BROADCAST_ROWS and size["lines"] <= BROADCAST_LINES
     joined = named.join(F.broadcast(drop) if small else drop, "host", "left")
     lines = _lines(F.col("text"))
     kept = F.filter(lines, lambda x: ~(F.array_contains("drop", _digest(x)) & (F.trim(x) != "")))

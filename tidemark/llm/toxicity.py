@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, release, texts
+from tidemark.llm.common import bound_batches, cut, release, texts
 
 CUT_OFF = 0.7
 SAMPLE_PER_CLASS = 2000
@@ -235,6 +235,7 @@ def drop_toxic(docs: DataFrame, train_labels: DataFrame, cut_off: float = CUT_OF
     """The rows of ``docs`` (all columns) whose score is below ``cut_off``: ``toxicity`` as
     a filter, in one pass without a join.  Null texts count as empty and stay."""
     model = train(texts(docs), train_labels, per_class)
+    bound_batches(docs.sparkSession)
 
     def keep(batches):
         of = model.scorer()
