@@ -722,6 +722,7 @@ class Engine:
         for r in bind_select(tree, self.lookup).relations:
             s = r.table.statistics
             lines.append(f"statistics of {r.alias}: " + ("none" if s is None else f"{s.rows:.0f} rows{', stale' if s.stale else ''}"))
+        lines += ["warnings:", *(f"  {w}" for w in self._warnings(tree, plan))]
         lines += [f"schema epoch: {self.catalog.epoch}", f"indexes used: {', '.join(plan.indexes) or 'none'}", f"read context: {session.consistency[0]}, head {self.head}, token {session.token}"]
         lines.append(f"plan cache: {len(self.cache)} entries")
         if analyze:
@@ -733,9 +734,19 @@ class Engine:
                 actual = o.get["rows"]
                 lines.append(f"  {alias}: {actual} rows, estimated {plan.estimates[alias]:.1f}, q-error {q_error(plan.estimates[alias], actual):.2f}")
         else:
+            lines += ["optimized:", *str(plan.df._jdf.queryExecution().optimizedPlan()).split("\n")]
             lines += ["physical:", *plan.df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")).split("\n")]
         return lines
 
+    def _warnings(self, tree: ast.Select, plan: Plan) -> list[str]:
+        out = []
+        for r in bind_select(tree, self.lookup).relations:
+            s = r.table.statistics
+            if s is None or s.stale:
+                out.append(f"{r.alias} has {'no' if s is None else 'stale'} statistics: ANALYZE {r.table.name}")
+        out += [f"{step}: every row meets every other" for step in plan.logical if step.startswith("nested loop")]
+        return out or ["none"]
+
     def tick(self) -> list:
         """One round of the adaptive loop: detect, advise and, when allowed, act."""
         if not self.advisor_on:
