@@ -52,43 +52,37 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def template_hash(word: Column, literal: Column | None = None) -> Column:
+def template_hash(word: Column) -> Column:
     """1 for a number, 2 for a unit, 3 for a name (a capital, then small letters), else the
-    hash of the word in lower case (``literal`` if it is at hand)."""
+    hash of the word in lower case."""
     low = F.lower(word)
-    literal = _literal_hash(word) if literal is None else literal
     return (
         F.when(low.isin(*UNITS, *NUMBER_WORDS), F.when(low.isin(*UNITS), UNIT).otherwise(NUMBER))
-        .when((word >= "a") & (word < "{"), literal)  # a to z first: neither pattern can match
+        .when((word >= "a") & (word < "{"), F.xxhash64(low))  # a to z first: neither pattern can match
         .when(word.rlike(_NAME), NAME)
         .when(word.rlike(_NUMBER), NUMBER)
-        .otherwise(literal)
+        .otherwise(F.xxhash64(low))
         .cast("long")
     )
 
 
-def _literal_hash(word: Column) -> Column:
-    return F.xxhash64(F.lower(word))
-
-
 def _hashed(df: DataFrame, w: str, keep: list[str]) -> DataFrame:
-    """``keep``, and of the words ``w``: l, hashes of them; h, template hashes; slots, a byte
-    for each, 1 for a slot."""
-    out = df.select(*keep, w, F.transform(w, _literal_hash).alias("l"))
-    out = out.select(*keep, "l", F.transform(w, lambda x, i: template_hash(x, F.get("l", i))).alias("h"))
-    slots = F.array_join(F.transform("h", lambda x, i: F.when(x == F.get("l", i), "0").otherwise("1")), "")
-    return out.select(*keep, "l", "h", slots.cast("binary").alias("slots"))
+    """``keep``; the words ``w``; h, their template hashes; slots, a byte for each, 1 for a slot."""
+    out = df.select(*keep, F.col(w).alias("w"), F.transform(w, lambda x: template_hash(x)).alias("h"))
+    slots = F.array_join(F.transform("h", lambda x: F.when(_is_slot(x), "1").otherwise("0")), "")
+    return out.select(*keep, "w", "h", slots.cast("binary").alias("slots"))
 
 
 def _window_keys(k: int, min_literals: int) -> Column:
     """Key of each window of k words of ``_hashed``, in order; none if there are fewer words:
-    the hash of its template words, or of the words themselves if fewer than
+    the hash of its template words, or of the words themselves, in lower case, if fewer than
     ``min_literals`` of them are no slots."""
     at = F.sequence(F.lit(1), F.size("h") - k + 1)
 
     def key(i):
         literals = F.length(F.replace(F.substring("slots", i, F.lit(k)).cast("string"), F.lit("1"), F.lit("")))
-        return F.when(literals >= min_literals, F.xxhash64(F.slice("h", i, k))).otherwise(F.xxhash64(F.lit(k), F.slice("l", i, k)))
+        plain = F.xxhash64(F.lit(k), F.transform(F.slice("w", i, k), F.lower))
+        return F.when(literals >= min_literals, F.xxhash64(F.slice("h", i, k))).otherwise(plain)
 
     return F.when(F.size("h") >= k, F.transform(at, key)).otherwise(F.array().cast("array<long>"))
 
