@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import release, texts
+from tidemark.llm.common import kept, release, texts
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CHUNK_CHARS = 1 << 16
@@ -24,7 +24,7 @@ _SAFE = re.compile(r"[^\W_](?= )")
 _BLANK = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 LONG_BLANK = 1 << 14
 _LONG_BLANKS = re.compile(f"{_BLANK}{{{LONG_BLANK},}}")
-_LOADED: dict[tuple, object] = {}
+_LOADED: dict[tuple, object] = kept()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

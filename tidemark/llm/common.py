@@ -290,6 +290,22 @@ def release() -> None:
         pass
 
 
+#: What operators keep in a Python worker from one task to the next (an encoder, an automaton).
+KEPT: list[dict] = []
+
+
+def kept() -> dict:
+    KEPT.append({})
+    return KEPT[-1]
+
+
+def forget() -> None:
+    """Drops what other operators keep in this worker, before a task that needs memory."""
+    for cache in KEPT:
+        cache.clear()
+    release()
+
+
 def grouped(batches, key: str, handle: Callable[[Iterator[dict]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
     """Feeds ``handle`` the records of each run of equal keys, one at a time."""
     stream = (dict(zip(b.schema.names, row, strict=True)) for b in batches for row in zip(*(c.to_pylist() if not pa.types.is_binary(c.type) else (v.as_buffer() for v in c) for c in b.columns), strict=True))

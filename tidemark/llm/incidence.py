@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import grouped, mix, pack, release, slices, unpack
+from tidemark.llm.common import forget, grouped, mix, pack, release, slices, unpack
 
 FLUSH_ENTRIES = 5 << 18
 BUCKET_ENTRIES = 5 << 18
@@ -130,6 +130,7 @@ def _send(n_buckets: int, read: Callable, heavy: tuple[np.ndarray, np.ndarray])
         yield from _batches(records())
 
     def run(batches):
+        forget()
         parts, held = [], 0
         for piece in slices(batches):
             for part in read(*piece):
@@ -221,6 +222,7 @@ def _reply(n_blocks: int, value: str, each_entry: bool) -> Callable:
         yield from settle(*together, np.unique(np.concatenate(marks)) if marks else _NONE)
 
     def run(batches):
+        forget()
         yield from grouped(batches, "bucket", bucket_answers)
         release()
 

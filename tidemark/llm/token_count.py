@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LONG_SPAN, release, slices, span_hashes, span_lanes, texts
+from tidemark.llm.common import LONG_SPAN, kept, release, slices, span_hashes, span_lanes, texts
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
@@ -306,7 +306,7 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return where[at], np.diff(np.searchsorted(at, text_at))
 
 
-_MACHINES: dict[str, Transducer] = {}
+_MACHINES: dict[str, Transducer] = kept()
 
 
 def count_batch(machine: Transducer, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
