@@ -31,6 +31,7 @@ from tidemark.errors import ConflictError, HorizonError, PoisonedError
 from tidemark.sources.catalog import TableSchema
 from tidemark.types import SPARK
 
+MAX_STRETCHES = 64
 _ARROW = {"BOOLEAN": pa.bool_(), "BIGINT": pa.int64(), "DOUBLE": pa.float64(), "STRING": pa.string(), "BYTES": pa.binary()}
 
 
@@ -89,6 +90,7 @@ class Store:
             (self.root / d).mkdir(parents=True, exist_ok=True)
         self.commits: list[Commit] = []
         self.horizons: dict[str, int] = {}
+        self._stretches: dict[tuple, DataFrame] = {}
         self.refresh()
 
     # --- commits
@@ -161,7 +163,13 @@ class Store:
         horizon = self.horizon(t)
         if wanted[0].seq <= horizon:
             raise HorizonError(f"changes of {t.name} up to commit {horizon} were vacuumed; what follows it can be read")
-        return self.spark.read.schema(log_type(t)).parquet(*(str(self.log_path(t.entity, c.seq)) for c in wanted))
+        # Commits never change, so the files of a stretch of the log are listed once.
+        key = (t.entity, len(t.fields), wanted[0].seq, wanted[-1].seq)
+        if key not in self._stretches:
+            if len(self._stretches) >= MAX_STRETCHES:
+                self._stretches.clear()
+            self._stretches[key] = self.spark.read.schema(log_type(t)).parquet(*(str(self.log_path(t.entity, c.seq)) for c in wanted))
+        return self._stretches[key]
 
     def commits_of(self, t: TableSchema, after: int = 0, upto: int | None = None) -> list[Commit]:
         return [c for c in self.commits if str(t.entity) in c.entities and c.seq > after and (upto is None or c.seq <= upto)]
