@@ -1,6 +1,8 @@
 import json
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.adaptive.actuator import Policy, Target, effect, gate, write_cost
 from tidemark.adaptive.advisor import Advice, Advisor
@@ -12,6 +14,7 @@ from tidemark.cli import command
 from tidemark.engine import Engine
 from tidemark.errors import ConsistencyError, TidemarkError
 from tidemark.plans.estimator import ColumnStatistics, below_rows, equality_rows, q_error
+from tidemark.queries import ORACLE_SQL, QUERIES
 from tidemark.sources.retention import Retention, Segment, prunable
 from tidemark.streaming.feed import ChangeFeed
 from tidemark.streaming.projections import maintain_table, maintained_rows
@@ -57,6 +60,23 @@ def test_histogram_and_common_values():
     assert q_error(10, 1000) == 100 and q_error(0, 0) == 1
 
 
+@pytest.mark.parametrize("name", ["analyze_histogram", "analyze_mcv"])
+@pytest.mark.parametrize(
+    ("rows", "balance"),
+    [
+        (0, "1.5D"), (1, "1.5D"), (65, "id % 9 / 4D"), (200, "cast(NULL AS DOUBLE)"), (60_000, "pmod(hash(id), 1000003) / 100D"),
+        (40_000, "CASE WHEN id % 3 = 0 THEN 7.25D WHEN id % 7 = 0 THEN NULL WHEN id % 11 = 0 THEN double('NaN') WHEN id % 13 = 0 THEN double('-Infinity') ELSE id % 1009 / 8D END"),
+    ],
+)
+def test_distributions_of_all_rows(spark, tmp_path, name, rows, balance):
+    nation = F.expr("cast(CASE WHEN id % 5 < 2 THEN 3 WHEN id % 19 = 0 THEN NULL ELSE pmod(hash(id), 25) END AS INT)")
+    spark.range(rows).select(F.col("id").alias("s_suppkey"), nation.alias("s_nationkey"), F.expr(balance).alias("s_acctbal")).write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, con.execute(ORACLE_SQL[name]).fetchall()))
+
+
 SHAPE = Shape("s", ("t",), (("t", "c"),), (), (), False, False)
 ADVICE = Advice("create index", "t", ("c",), 9.0, 60, "")
 

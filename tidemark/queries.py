@@ -11,7 +11,7 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.adaptive.statistics import column_sample, common_values, histogram
+from tidemark.adaptive.statistics import distributions
 from tidemark.engine import Engine
 from tidemark.errors import ConflictError, TidemarkError
 from tidemark.plans.parser import parse
@@ -347,24 +347,19 @@ def analyze_columns(spark, sf_dir):
     return spark.createDataFrame(rows, "column_name string, n_rows long, n_nulls long, low string, high string")
 
 
-def _sampled(spark, sf_dir, table: str, column: str, kind: str, key: str) -> tuple[list, float]:
-    """Values of a column in the bounded sample of ANALYZE (all, in a small table), and how
-    many rows each stands for."""
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(column).cast(kind).alias(column), key)
-    rows = df.count()
-    values = column_sample(df, {column: kind}, key, rows).toArrow().column(column).to_pylist()
-    return values, rows / max(len(values), 1)
+def _distribution(spark, sf_dir, table: str, column: str, kind: str) -> tuple[list, list]:
+    """Common values and buckets of a column, NULL and NaN counted as values."""
+    return distributions(spark.read.parquet(f"{sf_dir}/{table}.parquet"), {column: kind}, nulls=True)[column]
 
 
 def analyze_mcv(spark, sf_dir):
-    values, scale = _sampled(spark, sf_dir, "supplier", "s_nationkey", "bigint", "s_suppkey")
-    return spark.createDataFrame([(v, round(n)) for v, n in common_values(values, scale)], "value long, n long")
+    common, _ = _distribution(spark, sf_dir, "supplier", "s_nationkey", "BIGINT")
+    return spark.createDataFrame([(v, int(n)) for v, n in common], "value long, n long")
 
 
 def analyze_histogram(spark, sf_dir):
-    values, scale = _sampled(spark, sf_dir, "supplier", "s_acctbal", "double", "s_suppkey")
-    rows = [(i, b.low, b.high, int(b.rows)) for i, b in enumerate(histogram(sorted(values), scale))]
-    return spark.createDataFrame(rows, "bucket int, low double, high double, n long")
+    _, buckets = _distribution(spark, sf_dir, "supplier", "s_acctbal", "DOUBLE")
+    return spark.createDataFrame([(i, b.low, b.high, b.rows) for i, b in enumerate(buckets)], "bucket int, low double, high double, n long")
 
 
 def _workload(spark, sf_dir, runs: int = 3) -> Engine:
