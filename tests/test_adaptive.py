@@ -8,7 +8,7 @@ from tidemark.adaptive.actuator import Policy, Target, effect, gate, write_cost
 from tidemark.adaptive.advisor import Advice, Advisor
 from tidemark.adaptive.consistency import ReadContext, decide
 from tidemark.adaptive.plan_cache import PlanCache, statement_key
-from tidemark.adaptive.statistics import common_values, histogram
+from tidemark.adaptive.statistics import LOCAL_ROWS, analyze_table, common_values, histogram
 from tidemark.adaptive.telemetry import QueryEvent, Shape, ShapeStats, Telemetry
 from tidemark.cli import command
 from tidemark.engine import Engine
@@ -77,6 +77,20 @@ def test_distributions_of_all_rows(spark, tmp_path, name, rows, balance):
     assert sorted(map(str, got)) == sorted(map(str, con.execute(ORACLE_SQL[name]).fetchall()))
 
 
+def test_analyze_takes_all_rows_of_large_tables(spark):
+    double = "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 17 = 0 THEN double('NaN') WHEN id % 19 = 0 THEN double('Infinity') ELSE pmod(hash(id), 1009) / 8D END"
+    kinds = {"id": "BIGINT", "n": "BIGINT", "d": "DOUBLE", "s": "STRING", "b": "BOOLEAN", "y": "BYTES", "t": "TIMESTAMP", "none": "STRING"}
+    expressions = ["id", "CASE WHEN id % 5 < 2 THEN 3 ELSE pmod(hash(id), 400) END", double, "concat('é', id % 101)", "id % 3 = 0", "cast(cast(id % 251 AS STRING) AS BINARY)", "timestampadd(HOUR, cast(id % 500 AS INT), TIMESTAMP_NTZ'2020-01-01')", "cast(NULL AS STRING)"]
+    df = spark.range(LOCAL_ROWS + 5000).select(*[F.expr(e).alias(c) for c, e in zip(kinds, expressions, strict=True)])
+    found, whole = analyze_table(df, kinds, "id"), df.toArrow()
+    for c in kinds:
+        values = [v for v in whole.column(c).to_pylist() if v is not None and not (isinstance(v, float) and (v != v or v == float("inf")))]
+        assert found.columns[c].common == common_values(values, 1.0), c
+        assert found.columns[c].buckets == histogram(sorted(values), 1.0), c
+        assert sum(b.rows for b in found.columns[c].buckets) == len(values)
+    assert found.columns["n"].common[0][1] > (LOCAL_ROWS + 5000) * 0.4 and found.columns["none"].buckets == []
+
+
 SHAPE = Shape("s", ("t",), (("t", "c"),), (), (), False, False)
 ADVICE = Advice("create index", "t", ("c",), 9.0, 60, "")
 

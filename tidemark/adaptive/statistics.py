@@ -17,7 +17,8 @@ from tidemark.errors import TidemarkError
 from tidemark.plans.estimator import Bucket, ColumnStatistics, TableStatistics
 from tidemark.types import SPARK
 
-SAMPLE_ROWS, MAX_BUCKETS, MAX_COMMON, COMMON_FACTOR, DISTINCT_ERROR = 30_000, 64, 32, 1.25, 0.016
+# Tables of up to LOCAL_ROWS rows are sorted whole by the driver, larger ones by the executors.
+LOCAL_ROWS, MAX_BUCKETS, MAX_COMMON, COMMON_FACTOR, DISTINCT_ERROR = 30_000, 64, 32, 1.25, 0.016
 
 
 def _ordered(value: Column, kind: str) -> Column:
@@ -39,14 +40,6 @@ def basic_statistics(df: DataFrame, columns: dict[str, str], prefixes: list[tupl
     return df.agg(*aggregates)
 
 
-def column_sample(df: DataFrame, columns: dict[str, str], primary_key: str | None, rows: float) -> DataFrame:
-    """About SAMPLE_ROWS rows, the same ones each time: those whose key hashes low."""
-    if rows <= SAMPLE_ROWS:
-        return df
-    key = F.xxhash64(primary_key) if primary_key else F.xxhash64(*[f"`{c}`" for c in columns])
-    return df.where(F.pmod(key, F.lit(1 << 30)) < F.lit(int((1 << 30) * SAMPLE_ROWS / rows)))
-
-
 def common_values(values: list, scale: float) -> list[tuple[object, float]]:
     """Up to MAX_COMMON values that occur over COMMON_FACTOR times the mean and twice."""
     counts: dict[object, int] = {}
@@ -142,20 +135,23 @@ def distributions(df: DataFrame, columns: dict[str, str], nulls: bool = False) -
 
 
 def analyze_table(df: DataFrame, columns: dict[str, str], primary_key: str | None, prefixes: list[tuple[str, ...]] = ()) -> TableStatistics:
-    """Two passes over the columns: exact counts and extremes, then a bounded sample (some
-    30,000 rows, which the driver sorts)."""
+    """Counts and extremes in one pass; common values and histograms of all rows, which the
+    driver sorts in small tables and the executors in others."""
     head = basic_statistics(df, columns, prefixes).first()
     rows = head["rows"]
-    sample = column_sample(df, columns, primary_key, rows).toArrow() if rows else None
+    shapes = {}
+    if rows <= LOCAL_ROWS:
+        table = df.toArrow()
+        for c, kind in columns.items():
+            values = [v for v in table.column(c).to_pylist() if v is not None and not (kind == "DOUBLE" and (v != v or abs(v) == float("inf")))]
+            shapes[c] = common_values(values, 1.0), histogram(sorted(values), 1.0)
+    else:
+        shapes = distributions(df, columns)
     out = {}
-    for c, kind in columns.items():
+    for c in columns:
         s = ColumnStatistics(rows, rows - head[f"n_{c}"], head[f"d_{c}"], head[f"lo_{c}"], head[f"hi_{c}"], nan=head[f"x_{c}"])
         if primary_key == c:
             s.distinct = rows
-        if sample is not None:
-            values = [v for v in sample.column(c).to_pylist() if v is not None and not (kind == "DOUBLE" and (v != v or abs(v) == float("inf")))]
-            if values:
-                scale = s.present / len(values)
-                s.common, s.buckets = common_values(values, scale), histogram(sorted(values), scale)
+        s.common, s.buckets = shapes[c]
         out[c] = s
     return TableStatistics(rows, out, prefixes={p: head[f"p_{k}"] for k, p in enumerate(prefixes)})
